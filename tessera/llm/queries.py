@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, pii, url_filter
+from tessera.llm import exact_dedup, mixing, pii, quality, toxicity, url_filter
+from tessera.llm.labelled import fold
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -31,6 +32,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def _held_out(scores: DataFrame, of: int, rest: int) -> DataFrame:
+    return scores.select("doc_id", (fold(F.col("doc_id"), of) == rest).alias("held_out"), "score", "predicted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _held_out(quality.classify_quality(docs, labels, lambda i: fold(i, 4) != 2, threshold=0.7), 4, 2)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _held_out(toxicity.classify_toxicity(docs, labels, lambda i: fold(i, 3) != 1, threshold=0.7), 3, 1)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filter.rule_table(spark, URL_RULES)
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -41,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op9_url_filter, op10_pii)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_quality, op8_toxicity, op9_url_filter, op10_pii)}
 
 
 OP3_SQL = """
