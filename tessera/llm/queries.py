@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, pii, quality, toxicity, url_filter
+from tessera.llm import exact_dedup, mixing, packing, pii, quality, toxicity, url_filter
 from tessera.llm.labelled import fold
 
 URL_RULES = [
@@ -41,6 +41,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(quality.classify_quality(docs, labels, lambda i: fold(i, 4) != 2, threshold=0.7), 4, 2)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), most=1024, end_id=2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return _held_out(toxicity.classify_toxicity(docs, labels, lambda i: fold(i, 3) != 1, threshold=0.7), 3, 1)
@@ -56,7 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_quality, op8_toxicity, op9_url_filter, op10_pii)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_quality, op7_packing, op8_toxicity, op9_url_filter, op10_pii)}
 
 
 OP3_SQL = """
