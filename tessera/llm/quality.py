@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,3 +118,25 @@ def classify_quality(
     ones = odds(labels, label_col, usable, id_col)
     out = scored(docs, fit(bad, good, ones), id_col, text_col)
     return out.select(id_col, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    usable: Callable[[Column], Column] = lambda i: F.lit(True),
+    threshold: float = 0.7,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    label_col: str = "quality",
+    rows: int = SAMPLE_ROWS,
+    most_bytes: int = SAMPLE_BYTES,
+) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores threshold or more; one pass without a shuffle."""
+    bad, good = sample(docs, labels, label_col, usable, rows, most_bytes, id_col, text_col)
+    score = fit(bad, good, odds(labels, label_col, usable, id_col))
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series(score([t if isinstance(t, str) else "" for t in texts]))
+
+    return docs.where(scores(docs[text_col]) >= threshold)

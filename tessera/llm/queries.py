@@ -69,8 +69,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")), PII_BASE)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_exact_dedup, op5_quality, op7_packing, op8_toxicity, op9_url_filter, op10_pii)}
+    return {f.__name__: f for f in (pipeline, op1_mix_sources, op2_ngram_join, op3_exact_dedup, op5_quality, op7_packing, op8_toxicity, op9_url_filter, op10_pii)}
 
 
 OP2_SQL = r"""
