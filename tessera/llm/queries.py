@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, ngram_join, packing, pii, quality, toxicity, url_filter
+from tessera.llm import embedding_dedup, exact_dedup, mixing, ngram_join, packing, pii, quality, toxicity, url_filter
 from tessera.llm.labelled import fold
 
 URL_RULES = [
@@ -45,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(quality.classify_quality(docs, labels, lambda i: fold(i, 4) != 2, threshold=0.7), 4, 2)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dups(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_mix_sources, op2_ngram_join, op3_exact_dedup, op5_quality, op7_packing, op8_toxicity, op9_url_filter, op10_pii)}
+    return {f.__name__: f for f in (pipeline, op1_mix_sources, op2_ngram_join, op3_exact_dedup, op5_quality, op6_embedding_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_pii)}
 
 
 OP2_SQL = r"""
@@ -96,6 +100,16 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
 OP9_SQL = r"""
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -154,4 +168,4 @@ FROM docs LEFT JOIN told USING (n)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op9_url_filter": OP9_SQL, "op10_pii": _pii_sql()}
+    return {"op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_pii": _pii_sql()}
