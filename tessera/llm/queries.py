@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, exact_dedup, mixing, ngram_join, packing, pii, quality, toxicity, url_filter
+from tessera.llm import embedding_dedup, exact_dedup, mixing, ngram_join, packing, pii, quality, substring_dedup, toxicity, url_filter
 from tessera.llm.labelled import fold
 
 URL_RULES = [
@@ -40,6 +40,10 @@ def _held_out(scores: DataFrame, of: int, rest: int) -> DataFrame:
     return scores.select("doc_id", (fold(F.col("doc_id"), of) == rest).alias("held_out"), "score", "predicted")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dups(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return _held_out(quality.classify_quality(docs, labels, lambda i: fold(i, 4) != 2, threshold=0.7), 4, 2)
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_mix_sources, op2_ngram_join, op3_exact_dedup, op5_quality, op6_embedding_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_pii)}
+    return {f.__name__: f for f in (pipeline, op1_mix_sources, op2_ngram_join, op3_exact_dedup, op4_substring_dedup, op5_quality, op6_embedding_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_pii)}
 
 
 OP2_SQL = r"""
