@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hnsw import Graph
-from tessera.llm.shared import components, stored
+from tessera.llm.shared import bounded_batches, components, spanning, stored
 
 #: Vectors of a shard on average, and of a block of queries.
 SHARD, BLOCK = 4_000, 2_000
@@ -44,6 +44,7 @@ def near_dups(
     components link with nothing; likewise null labels. Null ids have component null. Rows that share an id are one node.
     Other columns are ignored. An empty table gives no rows.
     """
+    bounded_batches(vectors.sparkSession)
     label = vectors[label_col].cast("string") if label_col else F.lit("")
     e = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"), label.alias("label"))
     sound = F.coalesce(
@@ -138,25 +139,7 @@ def _links(held: tuple, queries: tuple, threshold: float) -> pd.DataFrame:
     links = np.bincount(q, times[w], len(asked)).astype(np.int64)
     some = np.flatnonzero(links)
     counts = pd.DataFrame({"a": asked[some], "b": pd.array([None] * len(some), dtype="Int64"), "links": pd.array(links[some], dtype="Int64")})
-    tree = [(asked[x], keys[y]) for x, y in _spanning(asked[q], keys[w], q, w)]
-    edges = pd.DataFrame({"a": [t[0] for t in tree], "b": [t[1] for t in tree]}, dtype="Int64")
+    tree = spanning(asked[q].tolist(), keys[w].tolist())
+    edges = pd.DataFrame({"a": asked[q[tree]], "b": keys[w[tree]]}, dtype="Int64")
     edges["links"] = pd.array([None] * len(edges), dtype="Int64")
     return pd.concat([counts.astype({"a": "Int64"}), edges], ignore_index=True)
-
-
-def _spanning(a: np.ndarray, b: np.ndarray, q: np.ndarray, w: np.ndarray) -> list[tuple[int, int]]:
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            root[rx] = ry
-            out.append((int(q[k]), int(w[k])))
-    return out

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import bounded_batches, stored
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -79,6 +79,7 @@ def probability(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray])
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], id_col: str, text_col: str) -> DataFrame:
     """(id_col, score) of each row of docs in one pass without a shuffle; null text counts as empty."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

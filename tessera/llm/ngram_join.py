@@ -11,14 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, stored
+from tessera.llm.shared import components, spanning, stored
 from tessera.llm.shingles import Common, Words, count_common, of_ids, shingle_set, texts_of
 
 #: Documents that a token may occur in before combinations of two stand for it.
 FREQUENT = 64
-#: Rounds in which a group's members meet one pivot each, before all that are still apart meet each other; the latter
-#: follows at once where it makes at most so many pairs for each signature row.
-ROUNDS, PAIRS_A_ROW = 8, 4
+#: Members of a group that meet as pairs at most, and members of a block in larger ones.
+SMALL, BLOCK = 24, 96
 
 _COMBINED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,9 +58,9 @@ def ngram_join(
     similarity of their sets is at least threshold.
 
     Equal sets make one class, named by its least id, before anything else. Classes that share a signature (see
-    prefix()) are candidates. In rounds, the members of a signature's group meet one pivot of the group; then those that
-    are still in different components meet each other. Only pairs inside one component are left out, so no component
-    lacks a link. Each pair is verified on whole sets.
+    prefix()) are candidates: members of a signature's group meet a pivot of the group; then those that are still in
+    different components meet each other. Only pairs inside one component are left out, so no component lacks a link. Each
+    pair is verified on whole sets.
 
     Null and empty texts have no words: 0 shingles, and link with nothing. Null ids get component null. Rows that share
     an id count as one document that has all their links. Other columns are ignored. An empty table gives no rows.
@@ -75,9 +74,7 @@ def ngram_join(
     links = stored(sets.where("id is not null and n_shingles > 0").select("id", "fp").join(classes, "fp").select("id", "c"))
     rows = sets.where("id is not null").select(F.explode("signatures").alias("s"), "fp", "id", F.col("n_shingles").alias("n"))
     rows = rows.groupBy("s", "fp").agg(F.min("id").alias("c"), F.first("n").alias("n")).drop("fp")
-    rows = stored(rows)
-    alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
-    rows = stored(rows.join(alone, "s", "left_semi"))
+    rows = _groups(stored(rows))
 
     members = stored(rows.select(F.col("c").alias("id")).distinct())
     packed = stored(of_ids(docs, members, id_col, text_col, lambda t: (shingle_set(words(t), n).tobytes(),), "tokens binary"))
@@ -109,39 +106,104 @@ def _signatures(docs: DataFrame, common: Common, words: Words, n: int, t: Fracti
     return cols.mapInPandas(run, f"id {kind}, n_shingles int, fp binary, signatures array<bigint>")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """rows (s, c, n) of those signatures that more than one class has; of signatures with just the same classes, which
+    near copies have by the hundred, one is kept. The classes are told apart by their number and two 64-bit sums."""
+    own = rows.groupBy("s").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(2))).alias("y")
+    )
+    kept = own.where("k > 1").groupBy("k", "x", "y").agg(F.min("s").alias("s")).select("s")
+    return stored(rows.join(kept, "s", "left_semi"))
+
+
 def _linked(rows: DataFrame, packed: DataFrame, edges: DataFrame, t: Fraction) -> DataFrame:
-    """edges and, for all classes in rows (s, c, n), verified ones that join every component."""
-    fits = lambda a, b: F.least(a, b) * t.denominator >= F.greatest(a, b) * t.numerator
-    found = None
-    for turn in range(ROUNDS + 1):
-        if found is None:
-            now = rows.withColumn("k", F.col("c"))
-        else:
-            nodes = components(found)
-            now = rows.join(nodes, rows["c"] == nodes["node"], "left").select("s", "c", "n", F.coalesce("component", "c").alias("k"))
-        parts = now.groupBy("s", "k").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n")).alias("p"))
-        groups = parts.groupBy("s").agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.min(F.struct("p", "k")).alias("pivot")
-        )
-        groups = stored(groups.where("parts > 1").select("s", "pivot", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")))
-        open_ = groups.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.count(F.lit(1)).alias("n")).first()
-        if not open_["n"]:
-            break
-        last = turn == ROUNDS or turn and open_["pairs"] <= PAIRS_A_ROW * rows.count()
-        if last:
-            here = now.join(groups.select("s"), "s", "left_semi")
-            other = here.select("s", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-            pairs = here.join(other, "s").where((F.col("c") < F.col("b")) & (F.col("k") != F.col("kb")) & fits(F.col("n"), F.col("nb")))
-            pairs = pairs.select(F.col("c").alias("a"), "b")
-        else:
-            pivot = groups.select("s", F.col("pivot.p.c").alias("b"), F.col("pivot.p.n").alias("nb"), F.col("pivot.k").alias("kb"))
-            pairs = now.join(pivot, "s").where((F.col("k") != F.col("kb")) & fits(F.col("n"), F.col("nb")))
-            pairs = pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b"))
-        more = stored(_verified(stored(pairs.distinct()), packed, t))
-        found = more if found is None else found.unionByName(more)
-        if last:
-            break
-    return edges if found is None else edges.unionByName(found)
+    """edges and, for all classes in rows (s, c, n), verified ones that join every component.
+
+    First every member of a group meets the group's pivot, which joins most of what belongs together. What is open then
+    meets group by group: all members of different components, in small groups as pairs, in large ones block by block.
+    """
+    pivots = rows.groupBy("s").agg(F.min(F.struct(F.xxhash64("c"), "c", "n")).alias("p")).select("s", F.col("p.c").alias("b"), F.col("p.n").alias("nb"))
+    pairs = rows.join(pivots, "s").where((F.col("c") != F.col("b")) & _fits(t, "n", "nb"))
+    pairs = pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct()
+    found = stored(_verified(pairs, packed, t))
+
+    now = _merged(_open(rows, found))
+    sizes = now.groupBy("s").agg(F.count(F.lit(1)).alias("size"))
+    now = stored(now.join(sizes, "s"))
+    small = now.where(F.col("size") <= SMALL)
+    other = small.select("s", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
+    pairs = small.join(other, "s").where((F.col("c") < F.col("b")) & (F.col("k") != F.col("kb")) & _fits(t, "n", "nb"))
+    found = found.unionByName(stored(_verified(pairs.select("c", "b").withColumnRenamed("c", "a").distinct(), packed, t)))
+    found = found.unionByName(stored(_between_blocks(now.where(F.col("size") > SMALL), packed, t)))
+    return edges.unionByName(found)
+
+
+def _fits(t: Fraction, a: str, b: str) -> F.Column:
+    """Whether sets of these sizes can be as similar as t."""
+    return F.least(a, b) * t.denominator >= F.greatest(a, b) * t.numerator
+
+
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(s, c, n, k) of groups that aren't inside one component k of the links found."""
+    nodes = components(found)
+    now = rows.join(nodes, rows["c"] == nodes["node"], "left").select("s", "c", "n", F.coalesce("component", "c").alias("k"))
+    now = stored(now)
+    left = now.groupBy("s").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("s")
+    return stored(now.join(left, "s", "left_semi"))
+
+
+def _merged(now: DataFrame) -> DataFrame:
+    """Groups that share members, made one where the members' square is less than the sum of the groups' squares: near
+    copies have hundreds of groups that hold nearly the same members."""
+    firsts = now.groupBy("s").agg(F.min("c").alias("b"), F.count(F.lit(1)).alias("m"))
+    nodes = components(now.join(firsts, "s").where("c <> b").select(F.col("c").alias("a"), "b"))
+    nodes = stored(nodes)
+    whole = nodes.groupBy(F.col("component").alias("g")).agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("all"))
+    in_ = firsts.join(nodes, firsts["b"] == nodes["node"]).select("s", "m", F.col("component").alias("g"))
+    each = in_.groupBy("g").agg(F.sum(F.col("m") * F.col("m")).alias("each"))
+    one = whole.join(each, "g").where(F.col("all") <= F.col("each")).select("g", F.lit(True).alias("one"))
+    to = in_.join(one, "g", "left").select("s", F.when(F.col("one"), F.xxhash64("g", F.lit(9))).otherwise(F.col("s")).alias("to"))
+    return stored(now.join(to, "s").groupBy(F.col("to").alias("s"), "c").agg(F.first("n").alias("n"), F.first("k").alias("k")))
+
+
+def _between_blocks(now: DataFrame, packed: DataFrame, t: Fraction) -> DataFrame:
+    """Links between members of different components in large groups (s, c, n, k, size). Members are dealt into blocks of
+    about BLOCK; every two blocks of a group meet as one row, whose sets are compared by a product of 0/1 matrices."""
+    block = F.pmod(F.xxhash64("c", F.lit(4)), F.ceil(F.col("size") / BLOCK)).alias("block")
+    met = now.select("s", "c", "k", block).join(packed, now["c"] == packed["id"])
+    blocks = stored(met.groupBy("s", "block").agg(F.collect_list(F.struct("c", "k", "tokens")).alias("x")))
+    other = blocks.select("s", F.col("block").alias("block2"), F.col("x").alias("y"))
+    work = blocks.join(other, "s").where("block <= block2").select("x", "y", "block", "block2")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for x, y in zip(b["x"], b["y"], strict=True):
+                yield _links_between(x, y, t)
+
+    kind = now.schema["c"].dataType.simpleString()
+    return work.select("x", "y").mapInPandas(run, f"a {kind}, b {kind}")
+
+
+def _links_between(x: list, y: list, t: Fraction) -> pd.DataFrame:
+    sets = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in [*x, *y]]
+    sizes = np.array([len(s) for s in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    same = np.zeros((len(x), len(y)))
+    for start in range(0, int(column.max()) + 1, 4096):  # a slice of the tokens at a time
+        here = (column >= start) & (column < start + 4096)
+        m = np.zeros((len(sets), 4096), dtype=np.float32)
+        m[row[here], column[here] - start] = 1
+        same += m[: len(x)] @ m[len(x) :].T
+    same = same.astype(np.int64)
+    union = sizes[: len(x), None] + sizes[None, len(x) :] - same
+    c, d = (np.array([r["c"] for r in z]) for z in (x, y))
+    k, m = (np.array([r["k"] for r in z]) for z in (x, y))
+    hit = (same * t.denominator >= union * t.numerator) & (k[:, None] != m[None, :])
+    i, j = np.nonzero(hit)
+    tree = spanning(c[i].tolist(), d[j].tolist())  # links inside what is joined already add nothing
+    i, j = i[tree], j[tree]
+    return pd.DataFrame({"a": np.maximum(c[i], d[j]), "b": np.minimum(c[i], d[j])})
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, t: Fraction) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import bounded_batches, stored
 
 #: Steps of the multiplicative weights, step width, and pieces that one part of a length's order holds on average.
 STEPS, WIDTH, PART_ROWS = 150, 0.08, 20_000
@@ -67,6 +67,7 @@ def pieces(
     most ids of which the first may be shorter. Columns: id, piece, start, length, ids_crc32 (of the ids as unsigned
     little-endian 32-bit numbers) and, with with_ids, ids."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokens(tokenizer)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import fit_split, logistic, odds, probability, sample, scored
+from tessera.llm.shared import bounded_batches
 
 #: Bounds of the labelled sample: rows and bytes for each label.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8 << 20
@@ -132,6 +133,7 @@ def keep_good(
     most_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores threshold or more; one pass without a shuffle."""
+    bounded_batches(docs.sparkSession)
     bad, good = sample(docs, labels, label_col, usable, rows, most_bytes, id_col, text_col)
     score = fit(bad, good, odds(labels, label_col, usable, id_col))
 

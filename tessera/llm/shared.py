@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 16 << 20) -> None:
+    """Batches between the JVM and Python workers hold so many rows and bytes at most from now on in this session, as rows
+    are whole texts here; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        now = spark.conf.get(key)
+        number = int(re.sub(r"\D", "", now) or 0) * (1 << {"k": 10, "m": 20, "g": 30}.get(now.lower().rstrip("b")[-1:], 0))
+        if number <= 0 or number > most:
+            spark.conf.set(key, str(most))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of stored() that nothing reads any more."""
     for df in tables:
@@ -51,6 +62,25 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def spanning(a: list, b: list) -> list[int]:
+    """Places of those pairs (a, b) that join two parts which the pairs before them don't."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        rx, ry = find(x), find(y)
+        if rx != ry:
+            root[rx] = ry
+            out.append(k)
+    return out
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node that has an edge to another,
     component being its least reachable node.

@@ -7,14 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import bounded_batches, sized, stored
 
 #: Bits of the maps of common tokens: between these powers of two, about two for each common token.
 LEAST_BITS, MOST_BITS = 20, 27
 #: Most tokens that a block of the count holds on average, and tokens that a worker gathers before it passes them on.
-BLOCK_TOKENS, GATHERED = 4 << 20, 2 << 20
+BLOCK_TOKENS, GATHERED = 2 << 20, 1 << 19
 
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,7 +99,7 @@ def count_common(docs: DataFrame, tokens_of, bounds: tuple[int, ...], text_col:
     that a task meets more often than the highest bound is sent that many times only, so no block grows with one token.
     `expected` is about the number of tokens of a row and sizes the blocks.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     n = docs.count()
     top = min(18, max(6, (n * expected // BLOCK_TOKENS).bit_length()))
     bits = min(MOST_BITS, max(LEAST_BITS, (n * expected // 4).bit_length()))
@@ -161,8 +160,6 @@ def count_common(docs: DataFrame, tokens_of, bounds: tuple[int, ...], text_col:
 
 def of_ids(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, pack, schema: str) -> DataFrame:
     """(id, *schema) rows of those documents whose id is in wanted["id"], built from their whole texts by pack(text)."""
-    from tessera.llm.shared import sized
-
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(sized(wanted, 24), "id", "left_semi")
     names = [c.split()[0] for c in schema.split(",")]
 
@@ -175,6 +172,3 @@ def of_ids(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, pack,
 
     kind = docs.schema[id_col].dataType.simpleString()
     return cols.mapInPandas(run, f"id {kind}, {schema}")
-
-
-__all__ = ["Common", "F", "Words", "count_common", "grams", "of_ids", "shingle_set", "texts_of"]
