@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -52,6 +53,13 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Shuffle files go once the driver's JVM notices that nothing refers to them; this makes it notice now, between the
+    large steps of an operator, so that their files don't pile up on the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows times row_bytes stay within most; else df, to be shuffled.
     df should be a stored table, as it is counted."""

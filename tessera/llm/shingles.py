@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import bounded_batches, sized, stored
+from tessera.llm.shared import bounded_batches, dropped, sized, stored, tidied
 
 #: Bits of the maps of common tokens: between these powers of two, about two for each common token.
 LEAST_BITS, MOST_BITS = 20, 27
@@ -155,6 +155,8 @@ def count_common(docs: DataFrame, tokens_of, bounds: tuple[int, ...], text_col:
     for r in told.toLocalIterator():
         for m, raw in zip(maps, r["maps"], strict=True):
             m[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(raw, dtype=np.uint8)
+    dropped(told)
+    tidied(docs.sparkSession)
     return Common(bits, maps)
 
 
