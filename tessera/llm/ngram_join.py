@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, spanning, stored
+from tessera.llm.shared import components, spanning, stored, tidied
 from tessera.llm.shingles import Common, Words, count_common, of_ids, shingle_set, texts_of
 
 #: Documents that a token may occur in before combinations of two stand for it.
@@ -79,6 +79,7 @@ def ngram_join(
     members = stored(rows.select(F.col("c").alias("id")).distinct())
     packed = stored(of_ids(docs, members, id_col, text_col, lambda t: (shingle_set(words(t), n).tobytes(),), "tokens binary"))
     packed = packed.groupBy("id").agg(F.first("tokens").alias("tokens"))
+    tidied(docs.sparkSession)
     edges = links.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
     edges = _linked(rows, packed, edges, threshold)
     nodes = components(edges)
@@ -127,6 +128,7 @@ def _linked(rows: DataFrame, packed: DataFrame, edges: DataFrame, t: Fraction) -
     pairs = pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct()
     found = stored(_verified(pairs, packed, t))
 
+    tidied(rows.sparkSession)
     now = _merged(_open(rows, found))
     sizes = now.groupBy("s").agg(F.count(F.lit(1)).alias("size"))
     now = stored(now.join(sizes, "s"))
@@ -153,17 +155,24 @@ def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _merged(now: DataFrame) -> DataFrame:
-    """Groups that share members, made one where the members' square is less than the sum of the groups' squares: near
-    copies have hundreds of groups that hold nearly the same members."""
-    firsts = now.groupBy("s").agg(F.min("c").alias("b"), F.count(F.lit(1)).alias("m"))
-    nodes = components(now.join(firsts, "s").where("c <> b").select(F.col("c").alias("a"), "b"))
-    nodes = stored(nodes)
-    whole = nodes.groupBy(F.col("component").alias("g")).agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("all"))
-    in_ = firsts.join(nodes, firsts["b"] == nodes["node"]).select("s", "m", F.col("component").alias("g"))
-    each = in_.groupBy("g").agg(F.sum(F.col("m") * F.col("m")).alias("each"))
-    one = whole.join(each, "g").where(F.col("all") <= F.col("each")).select("g", F.lit(True).alias("one"))
-    to = in_.join(one, "g", "left").select("s", F.when(F.col("one"), F.xxhash64("g", F.lit(9))).otherwise(F.col("s")).alias("to"))
-    return stored(now.join(to, "s").groupBy(F.col("to").alias("s"), "c").agg(F.first("n").alias("n"), F.first("k").alias("k")))
+    """Groups with much the same members made one, as near copies have hundreds of such groups: first those that are
+    connected by shared members, then those whose member of least hash is the same, under two hashes."""
+    firsts = now.groupBy("s").agg(F.min("c").alias("b"))
+    nodes = stored(components(now.join(firsts, "s").where("c <> b").select(F.col("c").alias("a"), "b")))
+    now = _one(now, firsts.join(nodes, firsts["b"] == nodes["node"]).select("s", F.col("component").alias("g")))
+    for salt in (21, 22):
+        now = _one(now, now.groupBy("s").agg(F.min(F.xxhash64("c", F.lit(salt))).alias("g")))
+    return now
+
+
+def _one(now: DataFrame, to: DataFrame) -> DataFrame:
+    """Groups s of the same g in to (s, g) made one where the square of their members is at most the sum of theirs."""
+    to = stored(to)
+    each = now.groupBy("s").agg(F.count(F.lit(1)).alias("m")).join(to, "s").groupBy("g").agg(F.sum(F.col("m") * F.col("m")).alias("each"))
+    whole = now.join(to, "s").select("g", "c").distinct().groupBy("g").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("all"))
+    one = whole.join(each, "g").where(F.col("all") <= F.col("each")).select("g", F.xxhash64("g", F.lit(9)).alias("one"))
+    named = to.join(one, "g", "left").select("s", F.coalesce("one", "s").alias("to"))
+    return stored(now.join(named, "s").groupBy(F.col("to").alias("s"), "c").agg(F.first("n").alias("n"), F.first("k").alias("k")))
 
 
 def _between_blocks(now: DataFrame, packed: DataFrame, t: Fraction) -> DataFrame:
