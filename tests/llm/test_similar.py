@@ -161,6 +161,20 @@ def test_substrings_of_many_documents(spark):
     assert len(got) <= 2 * 60
 
 
+def test_passages_apart_are_all_found(spark):
+    rng = random.Random(14)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k, (size, gap) in enumerate([(60, 40), (60, 65), (60, 90), (200, 130), (200, 240), (200, 350)]):
+        p, q = fresh(size), fresh(size)
+        for j in (0, 1):
+            rows.append((2 * k + j, " ".join(fresh(7 + j) + p + fresh(gap) + q + fresh(9))))
+        at = 8 + size + gap
+        want |= {(2 * k + 1, 8, 8 + size), (2 * k + 1, at, at + size)}
+    got = substring_dedup.substring_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want == {(r["doc_id"], r["start"], r["end"]) for r in got}
+
+
 def test_substrings_of_odd_rows(odd_docs, no_docs):
     got = substring_dedup.substring_dups(odd_docs).collect()
     assert {(43, 6), (44, 6), (45, 6)} <= {(r["doc_id"], r["other_id"]) for r in got}
