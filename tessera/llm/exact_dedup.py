@@ -61,7 +61,27 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, **given) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; ids must be unique and known."""
-    id_col = given.get("id_col", "doc_id")
-    out = stored(exact_dedup(docs, **given).where(~F.col("kept")).select(id_col))
-    return docs.join(sized(out, 16), id_col, "left_anti")
+    """The rows of docs that exact_dedup() keeps, with all their columns. Ids may repeat and be null: an id goes where none
+    of its rows is kept; where some are, rows are told apart by id and text, and of those that share both, the one whose
+    columns hash least stands for the kept one."""
+    id_col, text_col = given.get("id_col", "doc_id"), given.get("text_col", "text")
+    found = exact_dedup(docs, **given).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
+    found = stored(found.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")))
+    ids = found.groupBy("_id").agg(F.sum("n").alias("n"), F.count_if(F.col("kept")).alias("stay"))
+    out = stored(ids.where("stay < n").select("_id", "stay"))
+    same = docs[id_col].eqNullSafe(F.col("_id"))
+    whole_ids = docs.join(sized(out.select("_id"), 16), same, "left_anti")
+    part = stored(out.where("stay > 0").select("_id"))
+    if part.isEmpty():
+        return whole_ids
+    normalise = given.get("normalise") or (lambda c: c)
+    some = docs.join(sized(part, 16), same, "left_semi").select(
+        F.col(id_col).alias("_id"),
+        F.sha2(normalise(whole(F.col(text_col))), 256).alias("_sha"),
+        F.struct(*docs.columns).alias("_row"),
+        F.xxhash64(*docs.columns).alias("_hash"),
+    )
+    some = some.groupBy("_id", "_sha").agg(F.min_by("_row", "_hash").alias("_row"))
+    kept = found.where("kept").select(F.col("_id").alias("_k"), F.col("_sha").alias("_s"))
+    some = some.join(kept, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
+    return whole_ids.unionByName(some.select("_row.*"))

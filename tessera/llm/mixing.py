@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import stored, whole
+from tessera.llm.shared import sized, stored, whole
 
 #: Knots (time from 0 to 1, rate) between which a source's rate is linear; the weight is its integral.
 FLAT = [(0.0, 1.0), (1.0, 1.0)]
@@ -85,13 +85,32 @@ def mix(
     Null text has size 0; null sources are one source; null ids are kept. Rows of size 0 take nothing. Repeated rows
     each count. Other columns are ignored. An empty table gives no rows.
     """
+    return _placed(docs, weights, share, most, schedules, id_col, text_col, source_col).drop("place")
+
+
+def _place(id_: Column, text: Column) -> Column:
+    """Where a row stands in its source's order."""
+    return F.xxhash64(id_, F.crc32(whole(text)))
+
+
+def _placed(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    share: float = 1.5,
+    most: float = 2.0,
+    schedules: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """mix()'s rows with their place."""
     spark = docs.sparkSession
     rows = stored(
         docs.select(
             docs[id_col].alias("id"),
             docs[source_col].cast("string").alias("source"),
             words(docs[text_col]).alias("size"),
-            F.xxhash64(docs[id_col], F.crc32(whole(docs[text_col]))).alias("place"),
+            _place(docs[id_col], docs[text_col]).alias("place"),
             F.monotonically_increasing_id().alias("row"),
         )
     )
@@ -135,7 +154,7 @@ def mix(
     )
     positions = F.when(F.col("taken") > 0, positions).otherwise(F.array().cast("array<double>"))
     return met.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", positions.alias("positions")
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", positions.alias("positions"), "place"
     )
 
 
@@ -159,14 +178,36 @@ def _shared(sizes: DataFrame, share: float) -> DataFrame:
 
 def mixed(docs: DataFrame, partitions: int | None = None, **given) -> DataFrame:
     """docs as the mix takes them, range-sorted by position: a row comes as often as the rounded number of times that its
-    words are taken, each time at its position. ids must be unique; columns are those of docs."""
-    id_col = given.get("id_col", "doc_id")
+    words are taken, each time at its position; columns are those of docs. Ids may repeat and be null: rows of one id are
+    matched one to one by source, size and place, those that share these too in the order of a hash of all columns."""
+    id_col, text_col, source_col = (given.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
     spark = docs.sparkSession
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
-    plan = mix(docs, **given).select(
-        F.col(id_col).alias("_id"), F.explode(F.slice("positions", F.lit(1), times)).alias("_at")
-    )
+    plan = _placed(docs, **given).select(
+        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("place").alias("_place"),
+        F.slice("positions", F.lit(1), times).alias("_ats"),
+    )
     plan = stored(plan)
+    again = stored(plan.groupBy("_id").count().where("count > 1").select(F.col("_id").alias("_again")))
+    names, at = [F.col(c) for c in docs.columns], F.explode("_ats").alias("_at")
+    same = docs[id_col].eqNullSafe(F.col("_id"))
+    if again.isEmpty():
+        met = docs.join(plan.select("_id", at), same).select(*names, "_at", "_id")
+    else:
+        again = sized(again, 16)
+        repeats = F.col("_id").eqNullSafe(F.col("_again"))
+        once = plan.join(again, repeats, "left_anti").select("_id", at)
+        met = docs.join(once, same).select(*names, "_at", "_id")
+        key = ["_id", "_source", "_size", "_place"]
+        nth = lambda by: F.row_number().over(W.partitionBy(*key).orderBy(*by))
+        many = plan.join(again, repeats, "left_semi").withColumn("_nth", nth(["_ats"]))
+        rows = docs.join(again, docs[id_col].eqNullSafe(F.col("_again")), "left_semi").select(
+            F.struct(*names).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"),
+            words(F.col(text_col)).alias("_size"), _place(F.col(id_col), F.col(text_col)).alias("_place"), F.xxhash64(*names).alias("_hash"),
+        )
+        rows = rows.withColumn("_nth", nth(["_hash"]))
+        given_to = many.select(*(F.col(c).alias(f"{c}2") for c in [*key, "_nth"]), at)
+        on = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in [*key, "_nth"]]
+        met = met.unionByName(rows.join(given_to, on).select("_row.*", "_at", "_id"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]))
-    return met.repartitionByRange(n, "_at", "_id").sortWithinPartitions("_at", "_id").select(*(docs[c] for c in docs.columns))
+    return met.repartitionByRange(n, "_at", "_id").sortWithinPartitions("_at", "_id").select(*docs.columns)

@@ -1,6 +1,7 @@
 """Operators 2, 4 and 6 and the pipeline against brute force."""
 
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import embedding_dedup, ngram_join, substring_dedup
+from tessera.llm import embedding_dedup, mixing, ngram_join, substring_dedup
 from tessera.llm.hnsw import Graph
 from tessera.llm.shared import components, stored
 from tessera.llm.shingles import Words, shingle_set
@@ -287,3 +288,24 @@ def test_pipeline_stages(spark, sf_dir):
     out = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
     n = kept.select(F.sum(F.lit(1))).first()[0]
     assert out.where("piece = 0").count() == n
+
+
+def test_stages_keep_repeated_rows_and_null_ids(spark, sf_dir):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e f g", "s"), (3, "d e f g", "t"), (3, "own text", "t"), (None, "n one", "s"),
+            (None, "n two x", "s"), (None, "a b c", "s"), (4, None, "t"), (4, "", "t"), (5, "k l m n o", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text or "", r.source) for r in corpus_pipeline.exact_stage(spark, docs, sf_dir).collect()]
+    want = [(1, "a b c", "s"), (2, "d e f g", "s"), (3, "own text", "t"), (4, "", "t"), (5, "k l m n o", None), (None, "n one", "s"), (None, "n two x", "s")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+    plan = mixing.mix(docs, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0).collect()
+    times = sum(round(r.taken / r.size) for r in plan if r.size)
+    mixed = [(r.doc_id, r.text) for r in corpus_pipeline.mix_stage(spark, docs, sf_dir).collect()]
+    by_id = Counter()
+    for r in plan:
+        by_id[r.doc_id] += round(r.taken / r.size) if r.size else 0
+    assert len(mixed) == times and Counter(i for i, _ in mixed) == +by_id
+    sizes = Counter()
+    for r in plan:
+        sizes[r.doc_id, r.size] += round(r.taken / r.size) if r.size else 0
+    assert Counter((i, len(t.split())) for i, t in mixed) == +sizes
