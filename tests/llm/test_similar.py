@@ -176,6 +176,16 @@ def test_passages_apart_are_all_found(spark):
     assert want == {(r["doc_id"], r["start"], r["end"]) for r in got}
 
 
+def test_passages_of_frequent_lines_are_found(spark):
+    rng = random.Random(16)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    one, two = fresh(30), fresh(30)
+    parts = {0: one, 1: two, 2: one[10:] + two[:20], 10: one + two, 11: one + two, 20: one, 21: two, 22: one[10:] + two[:20]}
+    docs = spark.createDataFrame([(k, " ".join(fresh(9) + p + fresh(12))) for k, p in parts.items()], "doc_id long, text string")
+    got = [(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in substring_dedup.substring_dups(docs).collect()]
+    assert got == [(11, 10, 9, 69)]
+
+
 def test_substrings_of_odd_rows(odd_docs, no_docs):
     got = substring_dedup.substring_dups(odd_docs).collect()
     assert {(43, 6), (44, 6), (45, 6)} <= {(r["doc_id"], r["other_id"]) for r in got}
