@@ -176,6 +176,18 @@ def test_passages_apart_are_all_found(spark):
     assert want == {(r["doc_id"], r["start"], r["end"]) for r in got}
 
 
+def test_ends_go_on_over_changed_words(spark):
+    rng = random.Random(15)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(20):
+        p = fresh(60)
+        q = [*p[:12], "changed", *p[13:48], "changed", *p[49:]]
+        rows += [(2 * k, " ".join(fresh(9) + p + fresh(5))), (2 * k + 1, " ".join(fresh(4) + q + fresh(8)))]
+    got = substring_dedup.substring_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["matched"]) for r in got) == [(2 * k + 1, 4, 64, 58) for k in range(20)]
+
+
 def test_passages_of_frequent_lines_are_found(spark):
     rng = random.Random(16)
     fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
