@@ -23,6 +23,7 @@ MARGIN = 1e-4
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1)[:, None]  # squares of very large or small components aren't in range
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 

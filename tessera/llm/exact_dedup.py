@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import sized, stored, whole
+from tessera.llm.shared import sized, stored, whole, with_key
 
 
 def exact_dedup(
@@ -50,8 +50,8 @@ def exact_dedup(
     given = F.struct(F.col("id").isNotNull().alias("known"), "id", "row")
     first = F.struct(F.col("id").isNull().alias("unknown"), "id", "row")
     best = F.min(first) if keep == "smallest" else F.max(given)
-    groups = rows.groupBy("h", "part").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["h", "part"]).select(
+    groups = stored(rows.groupBy("h", "part").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")))
+    return with_key(rows, groups.withColumn("weight", F.col("group_size")), ["h", "part"]).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
         "group_size",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_batches, stored
+from tessera.llm.shared import beside, bounded_batches, stored, texts_of
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -24,8 +24,9 @@ def sample(
     """(texts labelled 0, texts labelled 1) for fitting, on the driver: of each label, the rows whose id has the least
     hashes, at most `rows` and at most `most_bytes` of UTF-8 (both bounds are the caller's documented parameters).
 
-    Only rows of labels for which usable(id) holds are looked at. Null ids, labels and texts are left out; an id that is
-    labelled both ways or repeated counts once per label."""
+    Only rows of labels for which usable(id) holds are looked at. Null ids, labels and texts are left out. An id that is
+    labelled both ways counts once per label; of an id that is repeated in docs, the shortest text counts, the first by
+    hash of equal ones. So the driver gets at most 2 * rows ids and 2 * most_bytes of text, whatever the tables hold."""
     known = labels.where(labels[id_col].isNotNull() & labels[label_col].isin(0, 1) & usable(labels[id_col]))
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     picked = None
@@ -33,17 +34,20 @@ def sample(
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     picked = stored(picked)
-    met = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(picked), "id")
-    met = stored(met.where("text is not null and text <> ''").withColumn("n", F.octet_length("text")))
+    met = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null and text <> ''")
+    met = met.withColumn("n", F.octet_length("text")).where(F.col("n") <= most_bytes)
+    met = met.join(F.broadcast(picked.select("id").distinct()), "id", "left_semi")
+    met = met.groupBy("id").agg(F.min(F.struct("n", F.xxhash64("text").alias("h"), "text")).alias("t"))
+    met = stored(met.join(F.broadcast(picked), "id").select("id", "y", F.col("t.n").alias("n"), F.col("t.text").alias("text")))
     out = []
     for y in (0, 1):
-        took, wanted = 0, {}
-        for r in met.where(F.col("y") == y).select("id", "n").orderBy(F.xxhash64("id", F.lit(11)), "id", "n").collect():
-            if r.id not in wanted and took + r.n <= most_bytes:
+        took, wanted = 0, []
+        for r in met.where(F.col("y") == y).select("id", "n").orderBy(F.xxhash64("id", F.lit(11)), "id").collect():
+            if took + r.n <= most_bytes:
                 took += r.n
-                wanted[r.id] = r.n
-        got = met.where((F.col("y") == y) & F.col("id").isin(list(wanted))).select("id", "n", "text").collect() if wanted else []
-        by_id = {r.id: r.text for r in sorted(got, key=lambda r: r.text, reverse=True) if r.n == wanted[r.id]}
+                wanted.append(r.id)
+        got = met.where((F.col("y") == y) & F.col("id").isin(wanted)).select("id", "text").collect() if wanted else []
+        by_id = {r.id: r.text for r in got}
         out.append([by_id[i] for i in wanted])
     return out[0], out[1]
 
@@ -81,13 +85,14 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], id_col: st
     """(id_col, score) of each row of docs in one pass without a shuffle; null text counts as empty."""
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            yield pd.DataFrame({id_col: b["id"], "score": score(texts) if texts else np.zeros(0)})
+            texts = texts_of(b)
+            yield beside(b.column("id"), score=pa.array(score(texts) if texts else np.zeros(0), pa.float64()))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(run, f"`{id_col}` {kind}, score double")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return out.withColumnRenamed("id", id_col)
 
 
 def fit_split(texts0: list[str], texts1: list[str], parts: int = 4) -> tuple[list[list[str]], list[list[str]]]:

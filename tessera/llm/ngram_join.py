@@ -8,11 +8,12 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, spanning, stored, tidied
-from tessera.llm.shingles import Common, Words, count_common, of_ids, shingle_set, texts_of
+from tessera.llm.shared import beside, components, sized, spanning, stored, texts_of, tidied
+from tessera.llm.shingles import Common, Words, count_common, of_ids, shingle_set
 
 #: Documents that a token may occur in before combinations of two stand for it.
 FREQUENT = 64
@@ -77,7 +78,7 @@ def ngram_join(
     rows = _groups(stored(rows))
 
     members = stored(rows.select(F.col("c").alias("id")).distinct())
-    packed = stored(of_ids(docs, members, id_col, text_col, lambda t: (shingle_set(words(t), n).tobytes(),), "tokens binary"))
+    packed = stored(of_ids(docs, members, id_col, text_col, lambda t: shingle_set(words(t), n).tobytes(), "tokens"))
     packed = packed.groupBy("id").agg(F.first("tokens").alias("tokens"))
     tidied(docs.sparkSession)
     edges = links.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
@@ -90,21 +91,22 @@ def ngram_join(
 def _signatures(docs: DataFrame, common: Common, words: Words, n: int, t: Fraction, id_col: str, text_col: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for b in batches:
-            out = []
+            n_shingles, fp, signatures = [], [], []
             for text in texts_of(b):
                 tokens = shingle_set(words(text), n)
-                found = prefix(tokens, known.over(tokens, 0), known.over(tokens, 1), t)
-                out.append((len(tokens), hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), found.astype(np.int64)))
-            frame = pd.DataFrame(out, columns=["n_shingles", "fp", "signatures"])
-            frame.insert(0, "id", b["id"].array)
-            yield frame
+                n_shingles.append(len(tokens))
+                fp.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                signatures.append(prefix(tokens, known.over(tokens, 0), known.over(tokens, 1), t).astype(np.int64))
+            yield beside(
+                b.column("id"), n_shingles=pa.array(n_shingles, pa.int32()), fp=pa.array(fp, pa.binary()), signatures=pa.array(signatures, pa.list_(pa.int64()))
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return cols.mapInPandas(run, f"id {kind}, n_shingles int, fp binary, signatures array<bigint>")
+    return cols.mapInArrow(run, f"id {kind}, n_shingles int, fp binary, signatures array<bigint>")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -234,8 +236,6 @@ def _verified(pairs: DataFrame, packed: DataFrame, t: Fraction) -> DataFrame:
 
 def keep_one(docs: DataFrame, **given) -> DataFrame:
     """docs without those rows that aren't the least id of their component; ids must be unique and known."""
-    from tessera.llm.shared import sized
-
     id_col = given.get("id_col", "doc_id")
     out = stored(ngram_join(docs, **given).where(f"component_id <> `{id_col}`").select(id_col))
     return docs.join(sized(out, 16), id_col, "left_anti")

@@ -5,27 +5,32 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_batches, stored
+from tessera.llm.shared import beside, bounded_batches, stored, texts_of
 
-#: Steps of the multiplicative weights, step width, and pieces that one part of a length's order holds on average.
-STEPS, WIDTH, PART_ROWS = 150, 0.08, 20_000
+#: Passes of the multiplicative weights, their step width, and the power of its size that a length's price starts from.
+PASSES, WIDTH, POWER = 6, 0.5, 1.1
+#: Pieces that one part of a length's order holds on average; white space in a row that the fast encoder is trusted with.
+PART_ROWS, BLANKS = 20_000, 1_000
 PIECE_SCHEMA = "id {id}, piece int, start bigint, length int, ids_crc32 bigint, ids array<int>"
 
 
 class Tokens:
     """ids of texts by a byte-level BPE vocabulary in a tokenizers JSON file.
 
-    Texts are encoded by tiktoken from the ranks in that file, which is several times as fast and gives the same ids;
-    texts that hold the string of an added token go through tokenizers itself.
+    Texts are encoded by tiktoken from the ranks in that file, which is several times as fast and gives the same ids.
+    Those that hold the string of an added token or a very long run of white space, on which tiktoken fails, go through
+    tokenizers itself; so does everything if the file asks for more than byte-level BPE with the usual split.
     """
 
     def __init__(self, path: str):
@@ -34,18 +39,26 @@ class Tokens:
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        self.full = Tokenizer.from_file(path)
+        self.added = [t["content"] for t in told.get("added_tokens", [])]
+        self.blanks = re.compile(r"\s{%d}" % BLANKS)
+        self.fast = None
+        split, model = told.get("pre_tokenizer") or {}, told["model"]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if not plain or told.get("normalizer") or model.get("type") != "BPE" or any(model.get(k) for k in odd):
+            return
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable}
         byte_of |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in printable)}
-        self.added = [t["content"] for t in told.get("added_tokens", [])]
-        vocab = {k: v for k, v in told["model"]["vocab"].items() if k not in self.added}
+        vocab = {k: v for k, v in model["vocab"].items() if k not in self.added}
         ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
+        # fixed value: the split of byte-level BPE
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(path)
 
     def __call__(self, text: str) -> list[int]:
-        if any(a in text for a in self.added):
+        if self.fast is None or any(a in text for a in self.added) or self.blanks.search(text):
             return self.full.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -69,96 +82,126 @@ def pieces(
     kind = docs.schema[id_col].dataType.simpleString()
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens(tokenizer)
         for b in batches:
-            out: dict[str, list] = {"id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-            for i, text in zip(b["id"].array, b["text"], strict=True):
-                ids = np.array([*encode(text if isinstance(text, str) else ""), end_id], dtype="<u4")
+            row, piece, start, length, crc, own = [], [], [], [], [], []
+            for k, text in enumerate(texts_of(b)):
+                ids = np.array([*encode(text), end_id], dtype="<u4")
                 cut = [0, *range(len(ids) % most or most, len(ids) + 1, most)]
                 for n, (s, e) in enumerate(zip(cut, cut[1:], strict=False)):
-                    out["id"].append(i)
-                    out["piece"].append(n)
-                    out["start"].append(s)
-                    out["length"].append(e - s)
-                    out["ids_crc32"].append(zlib.crc32(ids[s:e].tobytes()))
-                    out["ids"].append(ids[s:e].astype(np.int32) if with_ids else None)
-            frame = pd.DataFrame({k: v for k, v in out.items() if k != "id"})
-            frame.insert(0, "id", pd.array(out["id"], dtype=b["id"].dtype) if out["id"] else b["id"].iloc[:0])
-            yield frame
+                    row.append(k)
+                    piece.append(n)
+                    start.append(s)
+                    length.append(e - s)
+                    crc.append(zlib.crc32(ids[s:e].tobytes()))
+                    own.append(ids[s:e].astype(np.int32) if with_ids else None)
+            yield beside(
+                b.column("id").take(pa.array(row, pa.int64())), piece=pa.array(piece, pa.int32()), start=pa.array(start, pa.int64()),
+                length=pa.array(length, pa.int32()), ids_crc32=pa.array(crc, pa.int64()), ids=pa.array(own, pa.list_(pa.int32())),
+            )
 
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return cols.mapInPandas(run, PIECE_SCHEMA.format(id=kind))
-
-
-def _best_pattern(value: np.ndarray, sizes: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
-    """Knapsack: how many of each size fit into room with the most value in total, at most left of each. Dynamic
-    program over room; each size comes in bundles of 1, 2, 4 and so on."""
-    best = np.zeros(room + 1)
-    bundles, took = [], []
-    for k in np.flatnonzero((value > 1e-15) & (left > 0)):
-        most, n = int(min(left[k], room // sizes[k])), 1
-        while most > 0:
-            n_now = min(n, most)
-            s = int(sizes[k] * n_now)
-            with_it = best[: room + 1 - s] + value[k] * n_now
-            better = np.zeros(room + 1, dtype=bool)
-            better[s:] = with_it > best[s:] + 1e-15
-            best[s:] = np.where(better[s:], with_it, best[s:])
-            bundles.append((k, n_now, s))
-            took.append(better)
-            most -= n_now
-            n *= 2
-    out, at = np.zeros(len(sizes), dtype=np.int64), room
-    for (k, n, s), better in zip(reversed(bundles), reversed(took), strict=True):
-        if better[at]:
-            out[k] += n
-            at -= s
-    return out
-
-
-def solve(histogram: dict[int, int], room: int, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, times) rows that pack histogram (length: pieces) into bins of room: lengths of a pattern, longest first.
-
-    Covering program: fewest patterns such that each length is covered as often as it occurs. Multiplicative weights: a
-    length's weight falls with how far it is covered; each step prices patterns by a knapsack over the weights. The
-    average of the patterns is scaled to the histogram and rounded down; what stays uncovered is packed by best-fit
-    decreasing, which also packs everything if that takes fewer bins. The work depends on the number of lengths only,
-    but for the rest, which is at most the patterns' sizes.
+    return cols.mapInArrow(run, PIECE_SCHEMA.format(id=kind))
+
+
+class Priced:
+    """Knapsack by a dynamic program over room: the patterns of most value for every room, at most left of each size. A
+    size comes in bundles of 1, 2, 4 and so on."""
+
+    def __init__(self, value: np.ndarray, sizes: np.ndarray, left: np.ndarray, room: int):
+        self.best = np.zeros(room + 1)
+        self.bundles: list[tuple[int, int, int]] = []
+        took = []
+        for k in np.flatnonzero((left > 0) & (sizes <= room)).tolist():
+            size, most, n = int(sizes[k]), int(min(left[k], room // sizes[k])), 1
+            while most > 0:
+                n = min(n, most)
+                s = size * n
+                with_it = self.best[: room + 1 - s] + value[k] * n
+                better = np.zeros(room + 1, dtype=bool)
+                better[s:] = with_it > self.best[s:] * (1 + 1e-12)
+                np.copyto(self.best[s:], with_it, where=better[s:])
+                self.bundles.append((k, n, s))
+                took.append(better)
+                most -= n
+                n *= 2
+        self.took = np.ascontiguousarray(np.array(took).T) if took else np.zeros((room + 1, 0), dtype=bool)
+
+    def pattern(self, room: int) -> dict[int, int]:
+        """(place of a size: times) of the best pattern for that room."""
+        out: dict[int, int] = {}
+        before = len(self.bundles)
+        while len(hit := np.flatnonzero(self.took[room, :before])):
+            before = int(hit[-1])
+            k, n, s = self.bundles[before]
+            out[k] = out.get(k, 0) + n
+            room -= s
+        return out
+
+
+def program(histogram: dict[int, int], room: int, passes: int = PASSES) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """(plan, bound): (pattern, times) rows that pack histogram (length: pieces) into bins of room, and a number of bins
+    that no plan can go below.
+
+    Configuration program: fewest patterns such that each length is covered as often as it occurs. A length has a price,
+    its weight times a power of its size. A pass covers all lengths: in a step, the longest length that is not covered
+    yet is completed to the pattern of most value by the knapsack, over what is uncovered, and that pattern enters as
+    often, a whole number of times, as the counts left allow; so what a pattern leaves over is priced again in the next
+    step, until nothing is left, and a pass is rounded as it is made. Each step uses up one length at least, so there are
+    as many steps as lengths, whatever the counts. After a pass a length's weight grows by exp(WIDTH * the room that its
+    patterns left unfilled, as a share). Prices bound the program from below by duality: value of all pieces over that of
+    the best pattern. The passes end when one meets the bound; the best one counts.
     """
     sizes = np.array(sorted(s for s, n in histogram.items() if n > 0 and s < room), dtype=np.int64)
-    out: dict[tuple[int, ...], int] = {}
-    if histogram.get(room, 0):
-        out[(room,)] = histogram[room]
+    full = [((room,), histogram[room])] if histogram.get(room, 0) else []
     if not len(sizes):
-        return list(out.items())
+        return full, float(sum(n for _, n in full))
     count = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    found: dict[tuple[int, ...], int] = {}
-    covered = np.zeros(len(sizes))
-    for step in range(1, steps + 1):
-        slack = covered / count
-        weight = np.exp(-(slack - slack.min()) * WIDTH * step / max(slack.max(), 1e-12)) if step > 1 else np.ones(len(sizes))
-        value = weight / count
-        value = value / value.max() + sizes * 1e-9  # among equals, the fuller
-        pattern = _best_pattern(value, sizes, count, room)
-        key = tuple(pattern)
-        reps = max(1, int((count[pattern > 0] // pattern[pattern > 0]).min()))
-        found[key] = found.get(key, 0) + reps
-        covered += pattern * reps
-    left = count.copy()
-    order = sorted(found, key=lambda k: (-int(np.dot(k, sizes)), k))
-    share = float((covered / count).min()) or 1.0
-    for key in order:  # rounded down, fullest first
-        p = np.array(key)
-        n = min(int(found[key] / share), int((left[p > 0] // p[p > 0]).min()))
-        if n > 0:
-            lengths = tuple(int(s) for s, k in zip(sizes[::-1], p[::-1], strict=True) for _ in range(k))
-            out[lengths] = out.get(lengths, 0) + n
-            left -= p * n
-    for lengths, n in best_fit({int(s): int(k) for s, k in zip(sizes, left, strict=True)}, room):
-        out[lengths] = out.get(lengths, 0) + n
+    weight, best, bound = np.ones(len(sizes)), None, 0.0
+    for value in (sizes.astype(float), sizes * 2.0 > room):
+        bound = max(bound, _bound(value.astype(float), sizes, count, room))
+    for _ in range(passes):
+        value = weight * sizes.astype(float) ** POWER
+        bound = max(bound, _bound(value, sizes, count, room))
+        left, found, unfilled = count.copy(), {}, np.zeros(len(sizes))
+        while left.any():
+            k = int(np.flatnonzero(left)[-1])
+            rest = room - int(sizes[k])
+            left[k] -= 1
+            pattern = Priced(value, sizes, left, rest).pattern(rest)
+            left[k] += 1
+            pattern[k] = pattern.get(k, 0) + 1
+            times = min(int(left[j]) // n for j, n in pattern.items())
+            gap = 1 - sum(int(sizes[j]) * n for j, n in pattern.items()) / room
+            for j, n in pattern.items():
+                left[j] -= n * times
+                unfilled[j] += n * times * gap
+            key = tuple(int(sizes[j]) for j in sorted(pattern, reverse=True) for _ in range(pattern[j]))
+            found[key] = found.get(key, 0) + times
+        if best is None or sum(found.values()) < sum(best.values()):
+            best = found
+        if sum(best.values()) <= np.ceil(bound - 1e-6):
+            break
+        weight *= np.exp(WIDTH * unfilled / count)
+    return full + list(best.items()), bound + sum(n for _, n in full)
+
+
+def _bound(value: np.ndarray, sizes: np.ndarray, count: np.ndarray, room: int) -> float:
+    """Bins that any plan needs, by the value of all pieces over that of the best pattern."""
+    best = Priced(value, sizes, count, room).best[room]
+    return float(value @ count / best) if best > 0 else 0.0
+
+
+def solve(histogram: dict[int, int], room: int, passes: int = PASSES) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of program(); where best-fit decreasing takes fewer bins, that one. The work grows with the square of the
+    number of lengths times room and not with the number of pieces."""
+    plan, bound = program(histogram, room, passes)
+    bins = sum(n for _, n in plan)
+    if bins <= np.ceil(bound - 1e-6):
+        return plan
     plain = best_fit(histogram, room)
-    return plain if sum(n for _, n in plain) < sum(out.values()) else list(out.items())
+    return plain if sum(n for _, n in plain) < bins else plan
 
 
 def best_fit(histogram: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
@@ -249,22 +292,22 @@ def pack(
     inside = F.row_number().over(W.partitionBy("length", "part").orderBy("row")) - 1
     ranked = rows.join(firsts, ["length", "part"]).withColumn("rank", F.col("first") + inside)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = b["length"].to_numpy(), b["rank"].to_numpy()
-            sequence, offset = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-            for size in np.unique(length):
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            sequence, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
+            for size in pc.unique(b.column("length")).to_pylist():
                 hit = np.flatnonzero(length == size)
-                first, start, each, at = slots[int(size)]
+                first, start, each, at = slots[size]
                 run = np.searchsorted(first, rank[hit], side="right") - 1
                 inner = rank[hit] - first[run]
                 sequence[hit] = start[run] + inner // each[run]
                 offset[hit] = at[run] + inner % each[run] * size
-            yield b.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield beside(b.column("id"), **{c: b.column(c) for c in cols[1:]}, sequence_id=pa.array(sequence), offset=pa.array(offset))
 
     kind = docs.schema[id_col].dataType.simpleString()
     cols = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     schema = PIECE_SCHEMA.format(id=kind) if with_ids else PIECE_SCHEMA.format(id=kind).removesuffix(", ids array<int>")
-    out = ranked.select(*cols, "rank").mapInPandas(place, f"{schema}, sequence_id bigint, offset bigint")
+    out = ranked.select(*cols, "rank").mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
     named = [F.col(c).cast("long").alias(c) if c == "length" else F.col(c) for c in out.columns if c != "id"]
     return out.select(F.col("id").alias(id_col), *named)

@@ -132,9 +132,15 @@ def keep_good(
     rows: int = SAMPLE_ROWS,
     most_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores threshold or more; one pass without a shuffle."""
+    """The rows of docs, with all their columns, whose text scores threshold or more; one pass without a shuffle.
+
+    Null and empty texts get the score of the mean features. Repeated and null ids keep or lose each row by its own text.
+    Where no usable label is known, or only one of the two, nothing can be told apart and all rows stay. An empty table
+    gives no rows."""
     bounded_batches(docs.sparkSession)
     bad, good = sample(docs, labels, label_col, usable, rows, most_bytes, id_col, text_col)
+    if not bad or not good:
+        return docs
     score = fit(bad, good, odds(labels, label_col, usable, id_col))
 
     @F.pandas_udf("double")

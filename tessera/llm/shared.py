@@ -7,18 +7,24 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes that a broadcast side may hold; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a key from which it may count as hot, and most hot keys.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where it is unset, as in tests, a new one."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a new one of this machine, which only
+    serves a local master; on a cluster the setting is needed."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark, "_tessera_dir", None)
     if own is None:
         own = spark._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -36,7 +42,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 16 << 20) -> None:
     """Batches between the JVM and Python workers hold so many rows and bytes at most from now on in this session, as rows
-    are whole texts here; smaller settings stay."""
+    are whole texts here; smaller settings stay. The setting is read when a plan runs, which for a lazy result is after
+    the operator has returned, so it isn't set back."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
         now = spark.conf.get(key)
         number = int(re.sub(r"\D", "", now) or 0) * (1 << {"k": 10, "m": 20, "g": 30}.get(now.lower().rstrip("b")[-1:], 0))
@@ -66,6 +73,30 @@ def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFra
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def with_key(rows: DataFrame, one: DataFrame, key: list[str], weight: str = "weight") -> DataFrame:
+    """rows joined on key with `one`, a stored table of one small row for each key whose column `weight` (dropped) says how
+    many rows have that key. Keys of more than HOT_ROWS rows and more than a HOT_KEYS-th of all are broadcast, at most
+    HOT_KEYS by that rule; so no task gets all rows of a hot key. The others meet in a shuffle. Null keys meet nothing."""
+    total = one.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(HOT_ROWS, int(total) // HOT_KEYS)
+    few = one.where(hot).drop(weight)
+    if few.isEmpty():
+        return rows.join(one.drop(weight), key)
+    told = rows.join(F.broadcast(few), key)
+    rest = rows.join(F.broadcast(few.select(*key)), key, "left_anti")
+    return told.unionByName(rest.join(one.where(~hot).drop(weight), key))
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """The texts of a batch; null counts as empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def beside(ids: pa.Array, /, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of ids as they came, so that 64-bit ids stay whole beside null ones, and other columns."""
+    return pa.RecordBatch.from_arrays([ids, *columns.values()], names=["id", *columns])
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

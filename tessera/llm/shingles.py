@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import bounded_batches, dropped, sized, stored, tidied
+from tessera.llm.shared import beside, bounded_batches, dropped, sized, stored, texts_of, tidied
 
 #: Bits of the maps of common tokens: between these powers of two, about two for each common token.
 LEAST_BITS, MOST_BITS = 20, 27
@@ -73,10 +74,6 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(grams(words, n))
 
 
-def texts_of(batch: pd.DataFrame, column: str = "text") -> list[str]:
-    return [t if isinstance(t, str) else "" for t in batch[column]]
-
-
 class Common:
     """Which tokens occur in more documents than each of some bounds, by hash: a class for each place in a map of bits.
     Tokens that share a place share the greater class, so a class is a function of the token, the same everywhere; the
@@ -105,10 +102,10 @@ def count_common(docs: DataFrame, tokens_of, bounds: tuple[int, ...], text_col:
     bits = min(MOST_BITS, max(LEAST_BITS, (n * expected // 4).bit_length()))
     most = max(bounds) + 1
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def blocks() -> pd.DataFrame:
+        def blocks() -> pa.RecordBatch:
             t = np.concatenate(held) >> np.uint64(32 - top)
             t.sort()
             first = np.r_[True, t[1:] != t[:-1]]
@@ -119,7 +116,7 @@ def count_common(docs: DataFrame, tokens_of, bounds: tuple[int, ...], text_col:
             cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)]
             low = (t & np.uint64(0xFFFFFFFF)).astype("<u4")
             rows = [(int(block[a]), low[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False) if b > a]
-            return pd.DataFrame(rows, columns=["block", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "tokens"])
 
         for b in batches:
             for text in texts_of(b):
@@ -148,7 +145,7 @@ def count_common(docs: DataFrame, tokens_of, bounds: tuple[int, ...], text_col:
             maps.append(np.packbits(hit, bitorder="little").tobytes())
         return pd.DataFrame({"block": [block], "maps": [maps]})
 
-    sent = docs.select(docs[text_col].alias("text")).mapInPandas(send, "block int, tokens binary")
+    sent = docs.select(docs[text_col].alias("text")).mapInArrow(send, "block int, tokens binary")
     told = stored(sent.groupBy("block").applyInPandas(classes, "block int, maps array<binary>"))
     width = 1 << (bits - top - 3)
     maps = [np.zeros(1 << (bits - 3), dtype=np.uint8) for _ in bounds]
@@ -160,17 +157,13 @@ def count_common(docs: DataFrame, tokens_of, bounds: tuple[int, ...], text_col:
     return Common(bits, maps)
 
 
-def of_ids(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, pack, schema: str) -> DataFrame:
-    """(id, *schema) rows of those documents whose id is in wanted["id"], built from their whole texts by pack(text)."""
+def of_ids(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, pack, name: str) -> DataFrame:
+    """(id, name) rows of those documents whose id is in wanted["id"], built from their whole texts: pack(text) as bytes."""
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(sized(wanted, 24), "id", "left_semi")
-    names = [c.split()[0] for c in schema.split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [pack(t) for t in texts_of(b)]
-            out = pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({c: [] for c in names})
-            out.insert(0, "id", b["id"].array)
-            yield out
+            yield beside(b.column("id"), **{name: pa.array([pack(t) for t in texts_of(b)], pa.binary())})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return cols.mapInPandas(run, f"id {kind}, {schema}")
+    return cols.mapInArrow(run, f"id {kind}, {name} binary")

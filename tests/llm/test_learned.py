@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, queries, toxicity
-from tessera.llm.labelled import fold
+import corpus_pipeline
+from tessera.llm import ngram_join, packing, quality, queries, substring_dedup, toxicity
+from tessera.llm.labelled import fold, sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -50,6 +51,42 @@ def test_classifiers_are_functions_of_the_text(spark, odd_docs):
     assert g(["plain words of a text that read well, every one of them " * 5])[0] > g(["%%% ### $$$ &&& $$$ ### %%% " * 10])[0]
 
 
+BIG = 1 << 60
+
+
+def test_big_ids_stay_whole_beside_null_ones(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(BIG + 1, text), (None, "x y"), (BIG + 3, text + " end"), (BIG + 5, None)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    want = [None, BIG + 1, BIG + 3, BIG + 5]
+    for out in (
+        quality.classify_quality(docs, labels), toxicity.classify_toxicity(docs, labels), ngram_join.ngram_join(docs), packing.pack(docs, queries.tokenizer_path()),
+    ):
+        assert sorted((r.doc_id for r in out.collect()), key=lambda i: i or 0) == want
+    joined = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    assert joined == {BIG + 1: BIG + 1, BIG + 3: BIG + 1, BIG + 5: BIG + 5, None: None}
+    assert [(r.doc_id, r.other_id) for r in substring_dedup.substring_dups(docs).collect()] == [(BIG + 3, BIG + 1)]
+
+
+def test_sample_is_bounded(spark):
+    rows = [(1, "a" * k) for k in range(2, 3000)] + [(1, "b"), (2, "c" * 500), (3, "d" * 90), (4, "e" * 20), (5, None), (6, ""), (None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, 1, 0) for k in (1, 1, 2, 3, 4, 5, 6, None)] + [(4, 0, 0)], "doc_id long, quality int, toxic int")
+    everything = lambda i: F.lit(True)
+    bad, good = sample(docs, labels, "quality", everything, rows=100, most_bytes=112)
+    assert bad == ["e" * 20] and sorted(good) == sorted(["b", "d" * 90, "e" * 20])
+    assert len(sample(docs, labels, "quality", everything, rows=2, most_bytes=10**6)[1]) <= 2
+    assert sum(map(len, sample(docs, labels, "quality", everything, rows=100, most_bytes=95)[1])) <= 95
+
+
+def test_quality_stage_keeps_all_where_nothing_is_labelled(spark, odd_docs, tmp_path):
+    labels = spark.createDataFrame([(0, 1, 0), (None, 0, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    for given in (labels.limit(0), labels):
+        assert quality.keep_good(odd_docs, given).count() == odd_docs.count()
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality_stage(spark, odd_docs, str(tmp_path)).count() == odd_docs.count()
+
+
 # -- packing -----------------------------------------------------------------------------------------------------------
 
 
@@ -79,6 +116,32 @@ def test_solve_covers_and_beats_best_fit():
         assert bins <= sum(n for _, n in packing.best_fit(histogram, 64))
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_program_packs_real_lengths(sf):
+    import pyarrow.parquet as pq
+
+    fast, histogram = packing.tokens(queries.tokenizer_path()), Counter()
+    for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        whole, rest = divmod(len(fast(t or "")) + 1, 1024)
+        histogram.update({1024: whole, rest: 1} if rest else {1024: whole})
+    plan, bound = packing.program(histogram, 1024)
+    bins = sum(n for _, n in plan)
+    print(f"{sf}: program {bins}, bound {bound:.1f}, best fit {sum(n for _, n in packing.best_fit(histogram, 1024))}")
+    assert packing.solve(histogram, 1024) == plan  # the program's own, not best fit's
+    assert bound <= bins <= sum(n for _, n in packing.best_fit(histogram, 1024)) and bins <= 1.01 * np.ceil(bound)
+    many = {k: n * 10**9 for k, n in histogram.items() if n}
+    assert sum(n for _, n in packing.program(many, 1024, passes=1)[0]) <= 1.01 * packing.program(many, 1024, passes=1)[1]
+
+
+def test_bounds_are_below_every_plan():
+    assert packing.program({600: 7}, 1024) == ([((600,), 7)], 7.0)
+    rng = np.random.default_rng(13)
+    for _ in range(20):
+        histogram = {int(s): int(n) for s, n in zip(rng.integers(1, 100, 8), rng.integers(1, 9, 8), strict=True)}
+        plan, bound = packing.program(histogram, 100)
+        assert bound <= min(sum(n for _, n in plan), sum(n for _, n in packing.best_fit(histogram, 100))) + 1e-6
+
+
 def test_fewest_bins_of_small_cases():
     def fewest(sizes, room):
         best = [len(sizes)]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import embedding_dedup, mixing, ngram_join, substring_dedup
+from tessera.llm import embedding_dedup, mixing, ngram_join, shared, substring_dedup
 from tessera.llm.hnsw import Graph
 from tessera.llm.shared import components, stored
 from tessera.llm.shingles import Words, shingle_set
@@ -282,6 +282,29 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_dups(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1.0, 1.0], 0), (3, [1e-200, 1e-200], 0), (4, [1.0, 0.01], 0), (5, [5e-324, 5e-324], 0), (6, [1.7e308, 1e292], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (1, 4), 6: (1, 4)}
+
+
+def test_hot_keys_meet_their_row(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 3 if k < 60 else k, k) for k in range(90)] + [(None, 99)], "k long, v long")
+    one = stored(rows.groupBy("k").count().withColumnRenamed("count", "weight").withColumn("twice", F.col("weight") * 2))
+    for least in (5, 1000):
+        monkeypatch.setattr(shared, "HOT_ROWS", least)
+        got = shared.with_key(rows, one, ["k"]).collect()
+        assert sorted((r.v, r.twice) for r in got) == [(k, 40 if k < 60 else 2) for k in range(90)]
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    class Remote:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Remote())
+
+
 # -- pipeline ----------------------------------------------------------------------------------------------------------
 
 
