@@ -60,9 +60,14 @@ def pivoted(long: DataFrame, rows: Sequence[str], codes: dict[str, Sequence[str]
         hits = [reduce(Column.__and__, (col(d) == c for d, c in zip(codes, combo, strict=True)), F.lit(True)) for combo in every]
         cells = [agg(F.when(h, col(value))).alias("_".join(combo)) for h, combo in zip(hits, every, strict=True)]
         return long.groupBy(*map(col, rows)).agg(*cells)
-    sentinel = F.lit("\0")
-    key = F.concat_ws("_", *(F.coalesce(col(d), sentinel) for d in codes))
-    return long.withColumn("\1", key).groupBy(*map(col, rows)).pivot("\1", ["_".join(c) for c in every]).agg(agg(col(value)))
+    # codes may hold any character, so combinations are told apart by their number and not by their name
+    numbers = {combo: n for n, combo in enumerate(dict.fromkeys(every))}
+    named = [f"\1{d}" for d in codes]
+    told = long.sparkSession.createDataFrame([(*combo, n) for combo, n in numbers.items()], ", ".join([*(f"`{c}` string" for c in named), "`\1n` int"]))
+    on = reduce(Column.__and__, (col(d) == col(c) for d, c in zip(codes, named, strict=True)))
+    met = long.join(F.broadcast(told), on, "left").drop(*named)
+    cells = met.groupBy(*map(col, rows)).pivot("\1n", list(numbers.values())).agg(agg(col(value)))
+    return cells.select(*map(col, rows), *(col(str(numbers[combo])).alias("_".join(combo)) for combo in every))
 
 
 def grouped(long: DataFrame, keys: Sequence[str], op: str, value: str = "Value", name: str | None = None) -> DataFrame:

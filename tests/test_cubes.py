@@ -151,6 +151,25 @@ def test_wide_pivots_match_narrow_ones(spark, monkeypatch):
     assert rows(C.pivoted(long, ["Measure"], codes, "SUM")) == plain
 
 
+def test_codes_may_hold_the_separator(spark, monkeypatch):
+    df = spark.createDataFrame([("a_b", "c", 1.0), ("a", "b_c", 2.0), ("a", "c", 4.0), ("a", None, 8.0), ("z", "c", 16.0)], "x string, y string, m double")
+    codes = {"x": ["a_b", "a"], "y": ["c", "b_c"]}
+    long = C.long_form(df, ["x", "y"], ["m"])
+    plain = C.pivoted(long, ["Measure"], codes, "SUM")
+    monkeypatch.setattr(C, "ONE_PASS", 1)
+    wide = C.pivoted(long, ["Measure"], codes, "SUM")
+    assert wide.columns == plain.columns == ["Measure", "a_b_c", "a_b_b_c", "a_c", "a_b_c"]
+    assert [tuple(r) for r in wide.collect()] == [tuple(r) for r in plain.collect()] == [("m", 1.0, None, 4.0, 2.0)]
+    open_rows = C.pivoted(long, ["Measure", "y"], {"x": ["a", "a_b"]}, "SUM")
+    assert sorted(map(str, open_rows.collect())) == ["Row(Measure='m', y='b_c', a=2.0, a_b=None)", "Row(Measure='m', y='c', a=4.0, a_b=1.0)", "Row(Measure='m', y=None, a=8.0, a_b=None)"]
+
+
+def test_literals_stay_as_they_are(spark, catalog):
+    sql = "SELECT t.Perioden AS p, 'x . y' AS a, 'p .q' AS b, 'a''b' AS c, 1.5 AS d FROM '85302NED.parquet' AS t WHERE t . Seizoen = 'T001047' AND t.Perioden <> ' . '"
+    got = rows(run_sql(sql, spark, catalog))
+    assert [(r["p"], r["a"], r["b"], r["c"], float(r["d"])) for r in got] == [("2021JJ00", "x . y", "p .q", "a'b", 1.5), ("2022JJ00", "x . y", "p .q", "a'b", 1.5)]
+
+
 def test_group_stays_when_its_codes_do_not_occur(spark):
     df = spark.createDataFrame([("g1", "A", 1.0), ("g2", "B", 2.0)], "g string, d string, m double")
     got = rows(C.pivoted(C.long_form(df, ["g", "d"], ["m"]), ["Measure", "g"], {"d": ["A"]}))

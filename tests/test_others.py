@@ -104,6 +104,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("cube_rows").collect())) == sorted(map(tuple, period_cube(events).collect()))
 
 
+def test_entry_without_what_training_data_needs(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # its import then fails
+    names = set(__spark_entry__.queries())
+    assert len(names) > 90 and not any(n.startswith("op") or n == "pipeline" for n in names)
+    assert set(__spark_entry__.oracle_sql()) <= names
+
+
 def test_driver_contract(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert len(queries) > 90 and set(sql) <= set(queries)
