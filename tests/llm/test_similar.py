@@ -198,12 +198,78 @@ def test_passages_of_frequent_lines_are_found(spark):
     assert got == [(11, 10, 9, 69)]
 
 
+def test_passage_among_holders_of_its_parts(spark):
+    rng = random.Random(17)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(60)
+    rows = []
+    for k in range(48):
+        at = rng.randrange(46)
+        rows.append((k, " ".join(fresh(40) + (passage if k in (23, 24) else passage[at : at + 15]) + fresh(30))))
+    got = substring_dedup.substring_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end, r.matched) for r in got] == [(24, 40, 100, 23, 40, 100, 60)]
+
+
+def test_substrings_match_brute_force(spark):
+    rng = random.Random(18)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    parts = [fresh(n) for n in (12, 15, 20, 25, 30, 35, 40, 48, 55, 60, 75, 90, 140)]
+    texts = []
+    for _ in range(150):
+        text = fresh(rng.randrange(20))
+        for _ in range(rng.randrange(1, 6)):
+            p = rng.choice(parts)
+            a = rng.choice([0, 0, 0, rng.randrange(len(p))])
+            text += p[a : rng.choice([len(p), len(p), rng.randrange(a, len(p)) + 1])] + fresh(rng.choice([0, 0, 3, 30]))
+        texts.append(text)
+    least = substring_dedup.LEAST + substring_dedup.WINDOW - 1
+    holders = {}
+    for i, t in enumerate(texts):
+        for a in range(len(t) - least + 1):
+            holders.setdefault(tuple(t[a : a + least]), set()).add(i)
+    got = substring_dedup.substring_dups(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    told = [set() for _ in texts]
+    for r in got:
+        told[r.doc_id] |= set(range(r.start, r.end))
+        told[r.other_id] |= set(range(r.other_start, r.other_end))
+        assert substring_dedup.matches(*(np.array([hash(w) for w in t]) for t in (texts[r.doc_id][r.start : r.end], texts[r.other_id][r.other_start : r.other_end]))) >= r.matched
+        assert r.matched >= 0.8 * max(r.end - r.start, r.other_end - r.other_start) and min(r.end - r.start, r.other_end - r.other_start) >= 50
+    runs = [(i, a) for i, t in enumerate(texts) for a in range(len(t) - least + 1) if len(holders[tuple(t[a : a + least])]) > 1]
+    assert len(runs) > 500 and all(set(range(a, a + least)) <= told[i] for i, a in runs)
+
+
+def test_recall_of_changed_passages(spark):
+    rng = random.Random(19)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], Counter()
+    for rate in (0.02, 0.05, 0.1):
+        for size in (60, 100, 300):
+            for _ in range(20):
+                p = fresh(size)
+                changed = [w for x in p for w in ([x], ["new"], [], [x, "more"])[rng.choices(range(4), (1 - rate, 0.6 * rate, 0.2 * rate, 0.2 * rate))[0]]]
+                rows += [(len(rows), " ".join(fresh(30) + p + fresh(30))), (len(rows) + 1, " ".join(fresh(20) + changed + fresh(25)))]
+                want[rate, len(rows) - 1] = 1
+    got = {r.doc_id for r in substring_dedup.substring_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for rate, least in ((0.02, 0.98), (0.05, 0.95), (0.1, 0.9)):
+        ids = [i for x, i in want if x == rate]
+        assert np.mean([i in got for i in ids]) >= least, rate
+    assert got <= {i for _, i in want}
+
+
 def test_substrings_of_odd_rows(odd_docs, no_docs):
     got = substring_dedup.substring_dups(odd_docs).collect()
     assert {(43, 6), (44, 6), (45, 6)} <= {(r["doc_id"], r["other_id"]) for r in got}
     assert substring_dedup.substring_dups(no_docs).count() == 0
 
 
+def test_long_gaps_part_chains():
+    chain = np.array([[0, 60, 5, 65], [80, 140, 85, 145], [2000, 2060, 160, 220], [5000, 5060, 3000, 3060]])
+    assert [len(x) for x in substring_dedup.parted(chain)] == [3, 1]
+    rng = np.random.default_rng(20)
+    a, b = rng.integers(0, 10**9, 20_000), rng.integers(0, 10**9, 20_000)
+    assert substring_dedup.matches(a, b) == 0 and substring_dedup.matches(np.r_[a, b], np.r_[b, a]) == 20_000
+
+
 def test_chains_are_best():
     rng = random.Random(8)
     for _ in range(60):
