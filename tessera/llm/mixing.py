@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 
 from tessera.llm.shared import sized, stored, whole
 
-#: Knots (time from 0 to 1, rate) between which a source's rate is linear; the weight is its integral.
-FLAT = [(0.0, 1.0), (1.0, 1.0)]
+#: Knots (time from 0 to 1, rate) between which a source's rate is linear; its integral multiplies the weight.
+FLAT = ((0.0, 1.0), (1.0, 1.0))
+#: A curriculum whose integrals are 1: of three sources one comes late, one evenly, one early.
+CURVES = (((0.0, 0.5), (1.0, 1.5)), FLAT, ((0.0, 1.5), (1.0, 0.5)))
 #: Rows that one part of a source's order holds on average.
 PART_ROWS = 20_000
 
@@ -68,12 +70,13 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    curves: tuple = (FLAT,),
 ) -> DataFrame:
     """One row per row of docs: id_col, source_col, size (words), source_size, target, taken (words of the row that the
     mix takes, repeats counted), positions (times from 0 to 1 at which its first word is read, one per reading).
 
     Sources by code point, null last, get weights in turn; each is multiplied by the integral of the source's rate in
-    schedules (see schedule_table; a source without one has rate 1 throughout). The sources share `share` times all
+    schedules (see schedule_table); sources without one get curves in turn, lists of knots. The sources share `share` times all
     words; a target stops at `most` times its source's words, and the excess is shared out again by weight until none
     is above. A source's rows stand in the order of a hash and are read round and round until the target is met: whole
     rounds, then the first words of one more, so the last row may give part of its words. A word's position is the time
@@ -83,14 +86,16 @@ def mix(
     source's order, so no task holds a source; reruns agree as the order is a hash of id and text, then the id.
 
     Null text has size 0; null sources are one source; null ids are kept. Rows of size 0 take nothing. Repeated rows
-    each count. Other columns are ignored. An empty table gives no rows.
+    each count. A source without words has target 0. Other columns are ignored. An empty table gives no rows. Sources are
+    ordered in one task, one small row each.
     """
-    return _placed(docs, weights, share, most, schedules, id_col, text_col, source_col).drop("place")
+    return _placed(docs, weights, share, most, schedules, id_col, text_col, source_col, curves).drop("place")
 
 
 def _place(id_: Column, text: Column) -> Column:
-    """Where a row stands in its source's order."""
-    return F.xxhash64(id_, F.crc32(whole(text)))
+    """Where a row stands in its source's order, of 60 bits."""
+    told = F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.md5(whole(text))))
+    return F.conv(F.substring(told, 1, 15), 16, 10).cast("long")
 
 
 def _placed(
@@ -102,6 +107,7 @@ def _placed(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    curves: tuple = (FLAT,),
 ) -> DataFrame:
     """mix()'s rows with their place."""
     spark = docs.sparkSession
@@ -115,7 +121,7 @@ def _placed(
         )
     )
     bits = max(4, (rows.count() // PART_ROWS).bit_length())
-    part = F.shiftright("place", 64 - bits).cast("int")
+    part = F.shiftright("place", 60 - bits).cast("int")
     rows = rows.withColumn("part", part)
     sums = stored(rows.groupBy("source", "part").agg(F.sum("size").alias("words")))
 
@@ -128,8 +134,9 @@ def _placed(
         sizes = sizes.join(known, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     else:
         sizes = sizes.withColumn("knots", F.lit(None).cast("array<struct<t:double,w:double>>"))
-    flat = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in FLAT))
-    sizes = sizes.withColumn("segments", _segments(F.coalesce("knots", flat)))
+    turns = F.array(*(F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in knots)) for knots in curves))
+    knots = F.coalesce("knots", F.element_at(turns, (F.col("nth") % len(curves) + 1).cast("int")))
+    sizes = sizes.withColumn("segments", _segments(knots))
     sizes = sizes.withColumn("integral", F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["area"]))
     sizes = sizes.withColumn("weight", given * F.col("integral")).withColumn("cap", F.col("source_size") * F.lit(most))
     targets = stored(_shared(sizes, share).drop("knots", "nth"))
@@ -142,7 +149,7 @@ def _placed(
     inside = W.partitionBy("source", "part").orderBy("place", "id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     at = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     met = met.withColumn("at", at)
-    rounds = F.floor(F.col("target") / F.col("source_size"))
+    rounds = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     rest = F.round(F.col("target") - rounds * F.col("source_size")).cast("long")
     part_taken = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
     taken = F.when(F.col("source_size") > 0, rounds.cast("long") * F.col("size") + part_taken).otherwise(F.lit(0)).cast("long")
@@ -150,7 +157,7 @@ def _placed(
     reads = rounds.cast("int") + F.when(part_taken > 0, 1).otherwise(0)
     stream = lambda k: F.col("at") + k * F.col("source_size")
     positions = F.transform(
-        F.sequence(F.lit(0), reads - 1), lambda k: _time(F.col("segments"), stream(k) / F.col("target") * F.col("integral"))
+        F.sequence(F.lit(0), reads - 1), lambda k: _time(F.col("segments"), F.try_divide(stream(k), F.col("target")) * F.col("integral"))
     )
     positions = F.when(F.col("taken") > 0, positions).otherwise(F.array().cast("array<double>"))
     return met.select(

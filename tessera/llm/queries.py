@@ -15,7 +15,7 @@ URL_RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-PII_BASE = ["email", "ip", "card", "phone"]
+PII_BASE = list(pii.BASE)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
-    first = F.try_element_at("positions", F.lit(1)).alias("first_position")
-    return out.select("doc_id", "size", "source_size", "target", "taken", first)
+    """In the order of the curriculum: by the time at which a row's first word is read, rows that are never read last."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0, curves=mixing.CURVES)
+    first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position")
+    out = out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", first)
+    return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +89,24 @@ def queries() -> dict:
     return {f.__name__: f for f in (pipeline, op1_mix_sources, op2_ngram_join, op3_exact_dedup, op4_substring_dedup, op5_quality, op6_embedding_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_pii)}
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(nth % 3)::INT + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio, row_number() OVER o AS step, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+  sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+l AS (SELECT *, (total - caps) / rest AS level FROM r),
+f AS (SELECT *, min(CASE WHEN level < ratio THEN step END) OVER () AS first FROM l),
+t AS (SELECT source, nth, source_size, CASE WHEN first IS NULL THEN cap ELSE least(cap, weight * max(CASE WHEN step = first THEN level END) OVER ()) END AS target FROM f),
+p AS (SELECT doc_id, size, nth, source_size, target, floor(target / nullif(source_size, 0)) AS rounds,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, coalesce(rounds * size + greatest(0, least(size, round(target - rounds * source_size) - place)), 0)::BIGINT AS taken, place / target AS x FROM p)
+SELECT doc_id, size, source_size, round(target, 6) AS target, taken, CASE WHEN taken > 0 THEN round(CASE nth % 3 WHEN 0 THEN 2 * x / (0.5 + sqrt(0.25 + 2 * x))
+  WHEN 1 THEN x ELSE 2 * x / (1.5 + sqrt(2.25 - 2 * x)) END, 9) END AS first_position FROM k
+"""
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
@@ -134,6 +154,7 @@ def _pii_sql() -> str:
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "secret": r"[A-Za-z0-9_+/=-]{20,}",
     }
     luhn = """list_sum(list_transform(range(length({d})), lambda i: CASE WHEN i % 2 = 1 THEN
       (2 * CAST(substr({d}, length({d}) - i, 1) AS INT)) // 10 + (2 * CAST(substr({d}, length({d}) - i, 1) AS INT)) % 10
@@ -150,26 +171,32 @@ def _pii_sql() -> str:
         "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn.format(d=digits)}",
         "phone": f"length({digits}) BETWEEN 8 AND 15",
         "iban": f"length({iban}) BETWEEN 15 AND 34 AND {rest} = 1",
+        "secret": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')",
     }
+    seen = lambda words: "least(2, " + " + ".join(f"(strpos(near, '{w}') > 0)::INT" for w in words) + ")"
     each = []
     for nth, (kind, pattern) in enumerate(patterns.items()):
+        score = f"greatest(0, least(100, {pii.PRIOR[kind]} + {pii.STEP} * ({seen(pii.CONTEXT[kind])} - {seen(pii.AGAINST)})))::DOUBLE / 100"
+        least = 0 if kind in pii.BASE else pii.LEAST_SCORE
         each.append(f"""
-SELECT n, '{kind}' AS kind, {nth} AS nth, b AS b, b + length(m) AS e FROM (
-  SELECT n, ms[i] AS m, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS b
+SELECT * FROM (SELECT n, '{kind}' AS kind, {nth} AS nth, b AS b, b + length(m) AS e, {score} AS score FROM (
+  SELECT n, ms[i] AS m, translate(right(ps[i], {pii.NEAR}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near,
+  CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS b
   FROM (SELECT n, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
     SELECT n, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS ps FROM docs)))
-WHERE {holds[kind]}""")
+WHERE {holds[kind]}) WHERE score >= {least}""")
     told = "string_agg(kind || ':' || b || ':' || e, ',' ORDER BY nth, b)"
+    counts = lambda kinds: ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
 spans AS ({' UNION ALL '.join(each)}),
-told AS (SELECT n, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))},
+told AS (SELECT n, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in patterns)}, max(score) AS score,
   {told} FILTER (nth < 4) AS base, {told} AS spans FROM spans GROUP BY n)
-SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))},
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, {counts(pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  {counts(k for k in patterns if k not in pii.BASE)}, coalesce(score, 0) > 0 AS found, coalesce(score, 0) AS score
 FROM docs LEFT JOIN told USING (n)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_pii": _pii_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_pii": _pii_sql()}

@@ -98,6 +98,26 @@ def test_mix_follows_a_schedule(spark):
     assert abs(y[len(y) // 2] - 0.5**0.5) < 0.01  # half of the area under a rising line
 
 
+def test_curves_keep_weights_and_order_the_mix(spark, odd_docs):
+    flat, curved = (sorted((str(r.doc_id), r.target, r.taken) for r in mixing.mix(odd_docs, curves=c).collect()) for c in ((mixing.FLAT,), mixing.CURVES))
+    assert flat == curved
+    docs = spark.createDataFrame([(k, "a b c d", "xyz"[k % 3]) for k in range(900)], "doc_id long, text string, source string")
+    got = rows_of(mixing.mix(docs, weights=(1.0,), share=1.0, most=1.0, curves=mixing.CURVES))
+    middle = {s: sorted(p for r in got if r["source"] == s for p in r["positions"])[150] for s in "xyz"}
+    # where the integral of 0.5 + t, of 1 and of 1.5 - t is half
+    assert all(abs(middle[s] - t) < 0.01 for s, t in (("x", (1.25**0.5) - 0.5), ("y", 0.5), ("z", 1.5 - 1.25**0.5)))
+    out = mixing.mixed(docs, weights=(1.0,), share=1.0, most=1.0, curves=mixing.CURVES).collect()
+    early = [r.source for r in out[:200]]
+    assert len(out) == 900 and early.count("z") > 1.5 * early.count("x")
+
+
+def test_sources_without_words(spark):
+    docs = spark.createDataFrame([(1, None, "e"), (2, " ", "e"), (3, "a b", "f"), (None, "", None)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in rows_of(mixing.mix(docs))}
+    assert [got[i]["taken"] for i in (1, 2, 3, None)] == [0, 0, 3, 0] and got[1]["target"] == 0.0
+    assert [r.doc_id for r in mixing.mixed(docs).collect()] == [3, 3]
+
+
 def test_mixed_repeats_rows(odd_docs):
     docs = odd_docs.where("doc_id is not null")
     got = mixing.mixed(docs)
@@ -162,6 +182,30 @@ def test_pii_matches_brute_force(spark):
         assert got[k]["spans"].startswith(told)
         for kind in base:
             assert got[k][f"n_{kind}"] == sum(s[0] == kind for s in spans)
-    assert got[6]["spans"] == "iban:5:27"
+    assert got[6]["spans"] == "iban:5:27" and got[6]["n_iban"] == 1 and got[6]["found"] and got[6]["score"] == 0.9
+    assert not got[0]["found"] and got[0]["score"] == 0.0
     near = {r["doc_id"]: r for r in rows_of(found)}
-    assert near[6]["iban"][0]["score"] > 0.9 and near[5]["phone"][0]["score"] > 0.6
+    assert near[6]["iban"][0]["score"] == 0.9 and near[5]["phone"][0]["score"] == 0.7
+
+
+def test_context_decides_on_added_spans(spark):
+    run = "9f86d081884c7d659a2feaa0c55ad015"
+    texts = [f'api_key = "{run}"', f"commit {run}", f"test token {run}", f"{run} token", f"ip 1.1.1.1 test dummy 2.2.2.2 {run[:19]} key {'a' * 30}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["spans"] for r in rows_of(pii.digest(pii.find_pii(docs), queries.PII_BASE).orderBy("doc_id"))]
+    assert got == ["secret:11:43", "", "", "", "ip:3:10,ip:22:29"]
+    scores = pii.find_pii(docs).where("doc_id = 4").first()["ip"]
+    assert [s["score"] for s in scores] == [0.7, 0.4]
+    every = rows_of(pii.find_pii(docs, least_score=0.0).orderBy("doc_id"))
+    assert [[s["score"] for s in r["secret"]] for r in every] == [[0.55], [0.45], [0.45], [0.45], []]
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "a@b.co " * 20_000), (2, "x " * 7 + "a@b.co")], "doc_id long, text string")
+    pii.find_pii(docs).collect()
+    start = time.time()
+    got = {r["doc_id"]: r["email"] for r in rows_of(pii.find_pii(docs))}
+    assert time.time() - start < 20
+    assert [(s["start"], s["end"]) for s in got[1]] == [(7 * k, 7 * k + 6) for k in range(20_000)] and got[2][0]["start"] == 14
