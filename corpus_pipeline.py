@@ -36,7 +36,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in order of their positions."""
-    return mixing.mixed(docs, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
+    return mixing.mixed(docs, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0, curves=mixing.CURVES)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
