@@ -1,12 +1,12 @@
-"""Hierarchical navigable small-world graphs over unit vectors, built and searched in batches with numpy."""
+"""Hierarchical navigable small-world graphs over unit vectors, built and searched in slices with numpy."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Links of a node (twice as many on the lowest layer), beam of the build, nodes of the top layer at most, most rows that
-#: are searched at once.
-LINKS, BUILD_BEAM, TOP, BATCH = 12, 48, 48, 256
+#: Links of a node (twice as many on the lowest layer), nearest nodes among which each is chosen, nodes of the top layer at
+#: most, most rows that are searched at once.
+LINKS, CANDIDATES, TOP, BATCH = 12, 3, 48, 256
 #: Nodes of the layer above from which a search starts: one alone may lie in another dense cluster, wider than the beam.
 ENTRIES = 8
 #: A node has a link from one of so many of its nearest ones at least.
@@ -33,32 +33,24 @@ class Graph:
             self._build(layer)
 
     def _build(self, layer: int) -> None:
-        """Nodes of a layer join it in growing batches, those of the layer above first. Each is linked to near ones that
-        the search finds and that aren't nearer to a link chosen before, and back."""
+        """Each node of a layer is linked to near ones that aren't nearer to a link chosen before, and back. A graph is no
+        larger than a task may hold, so a node's nearest ones come from products of slices of the layer with all of it,
+        which take far less time than searches, and miss none."""
         own = self.nodes[layer]
         n, most = len(own), LINKS * (2 if layer == 0 else 1)
         links = np.full((n, most), -1, dtype=np.int32)
         vecs = self.vectors[own]
         up = np.isin(own, self.nodes[layer + 1]) if layer + 1 < len(self.nodes) else np.zeros(n, dtype=bool)
-        order = np.r_[np.flatnonzero(up), np.flatnonzero(~up)]
-        done = min(n, max(TOP, int(up.sum()) if up.sum() <= 4 * BATCH else TOP))
-        first = order[:done]
-        _link(vecs, links, first, first, vecs[first] @ vecs[first].T, most)
-        self.links[layer] = links
-        while done < n:
-            new = order[done : done + min(BATCH, max(TOP, done))]
-            entry = self._descend(vecs[new], layer)
-            entry = np.where(np.isin(entry, order[:done]), entry, -1)
-            entry[:, 0] = np.where(entry.max(axis=1) < 0, order[0], entry[:, 0])
-            found, sims, _, _ = _beam(vecs, links, vecs[new], entry, BUILD_BEAM)
-            near = vecs[new] @ vecs[new].T
-            np.fill_diagonal(near, -2)
-            within = np.argsort(-near, axis=1)[:, : min(LINKS, len(new))]
-            found = np.c_[found, new[within]]
-            sims = np.c_[sims, np.take_along_axis(near, within, 1)]
-            _link_found(vecs, links, new, found, sims, most)
-            done += len(new)
-        self.links[layer] = _reached(vecs, links, np.flatnonzero(up) if up.any() else order[:1])
+        found, sims = [], []
+        for a in range(0, n, BATCH):
+            near = vecs[a : a + BATCH] @ vecs.T
+            near[np.arange(len(near)), np.arange(a, a + len(near))] = -2
+            k = min(n, CANDIDATES * most)
+            best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(near), 1))
+            found.append(best)
+            sims.append(np.take_along_axis(near, best, 1))
+        _link_found(vecs, links, np.arange(n), np.concatenate(found), np.concatenate(sims), most)
+        self.links[layer] = _reached(vecs, links, np.flatnonzero(up) if up.any() else np.arange(min(n, 1)))
 
     def _descend(self, queries: np.ndarray, layer: int) -> np.ndarray:
         """Places in a layer to start from, some for each query (-1 fills up): the nearest nodes of the layer above, which
@@ -90,14 +82,6 @@ class Graph:
         return q, v, sims
 
 
-def _link(vecs: np.ndarray, links: np.ndarray, who: np.ndarray, whom: np.ndarray, sims: np.ndarray, most: int) -> None:
-    same = who[:, None] == whom[None, :]
-    sims = np.where(same, -2, sims)
-    k = min(len(whom), 3 * most)
-    best = np.argsort(-sims, axis=1)[:, :k]
-    _link_found(vecs, links, who, whom[best], np.take_along_axis(sims, best, 1), most)
-
-
 def _link_found(vecs: np.ndarray, links: np.ndarray, who: np.ndarray, found: np.ndarray, sims: np.ndarray, most: int) -> None:
     order = np.argsort(-sims, axis=1)
     found, sims = np.take_along_axis(found, order, 1), np.take_along_axis(sims, order, 1)
