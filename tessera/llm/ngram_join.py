@@ -68,7 +68,7 @@ def ngram_join(
     """
     frequent = frequent if threshold >= Fraction(2, 3) else 1 << 30  # below, pairs of neighbours may miss a link
     words = Words()
-    common = count_common(docs, lambda text: shingle_set(words(text), n), (1, frequent), text_col)
+    common = count_common(docs, lambda texts: (shingle_set(w, n) for w in words.each(texts)), (1, frequent), text_col)
     sets = stored(_signatures(docs, common, words, n, threshold, id_col, text_col))
 
     classes = sets.where("id is not null and n_shingles > 0").groupBy("fp").agg(F.min("id").alias("c"))
@@ -78,7 +78,7 @@ def ngram_join(
     rows = _groups(stored(rows))
 
     members = stored(rows.select(F.col("c").alias("id")).distinct())
-    packed = stored(of_ids(docs, members, id_col, text_col, lambda t: shingle_set(words(t), n).tobytes(), "tokens"))
+    packed = stored(of_ids(docs, members, id_col, text_col, lambda texts: (shingle_set(w, n).tobytes() for w in words.each(texts)), "tokens"))
     packed = packed.groupBy("id").agg(F.first("tokens").alias("tokens"))
     tidied(docs.sparkSession)
     edges = links.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
@@ -95,8 +95,8 @@ def _signatures(docs: DataFrame, common: Common, words: Words, n: int, t: Fracti
         known = sent.value
         for b in batches:
             n_shingles, fp, signatures = [], [], []
-            for text in texts_of(b):
-                tokens = shingle_set(words(text), n)
+            for w in words.each(texts_of(b)):
+                tokens = shingle_set(w, n)
                 n_shingles.append(len(tokens))
                 fp.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 signatures.append(prefix(tokens, known.over(tokens, 0), known.over(tokens, 1), t).astype(np.int64))
