@@ -6,7 +6,9 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Rows of a key from which it may count as hot, and most hot keys.
 HOT_ROWS, HOT_KEYS = 1_000, 100_000
+#: Edges that one task joins to stars, on average.
+FOREST = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -120,13 +124,45 @@ def spanning(a: list, b: list) -> list[int]:
     return out
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node of each one's part) of the graph of edges (a, b). Roots hang themselves on smaller roots that an
+    edge leads to, all at once, until none is left; each time at least half of those that can do so."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    up = np.arange(len(nodes))
+    while True:
+        p, q = up[x], up[y]
+        apart = p != q
+        if not apart.any():
+            return nodes, nodes[up]
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def _forests(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Stars (node a, least node b of its part) of parts of about FOREST edges, and whether all edges were in one."""
+    parts = -(-edges.count() // FOREST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column("a").to_numpy(zero_copy_only=False), x.column("b").to_numpy(zero_copy_only=False)) for x in batches]
+        if held and sum(len(x) for x, _ in held):
+            node, root = forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
+    dealt = edges.coalesce(1) if parts <= 1 else edges.repartition(parts, "a")
+    return stored(dealt.mapInArrow(run, edges.schema)), parts <= 1
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node that has an edge to another,
     component being its least reachable node.
 
-    Alternating large-star and small-star steps; each keeps the edges of a node apart from the minimum that is found
-    by an aggregate with map-side combine, so no node's neighbours meet in one task. Null ends and loops are left out;
-    repeated edges count once; no edges give no rows.
+    In each round, tasks of about FOREST edges make them stars; then alternating large-star and small-star steps join the
+    stars of different tasks. These keep the edges of a node apart from the minimum that is found by an aggregate with
+    map-side combine, so no node's neighbours meet in one task. Rounds go on until one task has all edges or nothing
+    changes. Null ends and loops are left out; repeated edges count once; no edges give no rows.
     """
 
     def star(e: DataFrame, small: bool) -> DataFrame:
@@ -143,20 +179,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    was = mark(now)
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    was = None
     for _ in range(rounds):
-        if not was[0]:
-            break
-        after = stored(star(star(now, False), True))
-        is_ = mark(after)
+        stars, done = _forests(now)
         dropped(now)
-        now = after
-        if is_ == was:
+        if done:
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        now = stored(star(star(stars.where("a <> b"), False), True))
+        dropped(stars)
+        if was == (was := mark(now)):
             break
-        was = is_
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -112,7 +112,9 @@ def test_word_hashes_agree_with_words():
     assert len(shingle_set(w("a b c d e f a b c d e f"), 5)) == len(sets_of([(0, "a b c d e f a b c d e f")])[0])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("forest", [10**6, 40])
+def test_components(spark, monkeypatch, forest):
+    monkeypatch.setattr(shared, "FOREST", forest)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 460)] + [(500, 500 + k) for k in range(80)]
     df = spark.createDataFrame([*edges, (None, 3), (7, 7)], "a long, b long")
@@ -120,6 +122,8 @@ def test_components(spark):
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     assert got == reach(nodes, [e for e in edges if e[0] != e[1]])
     assert components(df.limit(0)).count() == 0
+    names = components(spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "a string, b string")).collect()
+    assert {r["node"]: r["component"] for r in names} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
 
 
 # -- substrings --------------------------------------------------------------------------------------------------------
