@@ -17,8 +17,8 @@ from tessera.llm.shingles import Common, Words, count_common, of_ids, shingle_se
 
 #: Documents that a token may occur in before combinations of two stand for it.
 FREQUENT = 64
-#: Members of a group that meet as pairs at most, and members of a block in larger ones.
-SMALL, BLOCK = 24, 96
+#: Members of a group that meet as pairs at most, and members and bytes of a block in larger ones, on average.
+SMALL, BLOCK, BLOCK_BYTES = 24, 96, 1 << 20
 
 _COMBINED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -132,7 +132,7 @@ def _linked(rows: DataFrame, packed: DataFrame, edges: DataFrame, t: Fraction) -
 
     tidied(rows.sparkSession)
     now = _merged(_open(rows, found))
-    sizes = now.groupBy("s").agg(F.count(F.lit(1)).alias("size"))
+    sizes = now.groupBy("s").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum(F.col("n").cast("long"))).alias("bytes"))
     now = stored(now.join(sizes, "s"))
     small = now.where(F.col("size") <= SMALL)
     other = small.select("s", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
@@ -178,13 +178,16 @@ def _one(now: DataFrame, to: DataFrame) -> DataFrame:
 
 
 def _between_blocks(now: DataFrame, packed: DataFrame, t: Fraction) -> DataFrame:
-    """Links between members of different components in large groups (s, c, n, k, size). Members are dealt into blocks of
-    about BLOCK; every two blocks of a group meet as one row, whose sets are compared by a product of 0/1 matrices."""
-    block = F.pmod(F.xxhash64("c", F.lit(4)), F.ceil(F.col("size") / BLOCK)).alias("block")
-    met = now.select("s", "c", "k", block).join(packed, now["c"] == packed["id"])
-    blocks = stored(met.groupBy("s", "block").agg(F.collect_list(F.struct("c", "k", "tokens")).alias("x")))
-    other = blocks.select("s", F.col("block").alias("block2"), F.col("x").alias("y"))
-    work = blocks.join(other, "s").where("block <= block2").select("x", "y", "block", "block2")
+    """Links between members of different components in large groups (s, c, n, k, size, bytes). Members are dealt into
+    blocks of about BLOCK members and BLOCK_BYTES; every two blocks of a group meet as one row, whose sets are compared by
+    a product of 0/1 matrices. A block's row tells which others it meets, so no task gets all pairs of a group."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    met = now.select("s", "c", "k", blocks.alias("blocks"), F.pmod(F.xxhash64("c", F.lit(4)), blocks).alias("block"))
+    met = met.join(packed, met["c"] == packed["id"])
+    held = stored(met.groupBy("s", "blocks", "block").agg(F.collect_list(F.struct("c", "k", "tokens")).alias("x")))
+    pairs = held.select("s", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block2"))
+    work = pairs.join(held.select("s", "block", "x"), ["s", "block"])
+    work = work.join(held.select("s", F.col("block").alias("block2"), F.col("x").alias("y")), ["s", "block2"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -235,7 +238,8 @@ def _verified(pairs: DataFrame, packed: DataFrame, t: Fraction) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **given) -> DataFrame:
-    """docs without those rows that aren't the least id of their component; ids must be unique and known."""
+    """docs without those rows whose id isn't the least of its component. Rows that share an id are one document here and
+    stay or go together; rows with a null id stay; so do those without words. An empty table gives no rows."""
     id_col = given.get("id_col", "doc_id")
     out = stored(ngram_join(docs, **given).where(f"component_id <> `{id_col}`").select(id_col))
     return docs.join(sized(out, 16), id_col, "left_anti")
