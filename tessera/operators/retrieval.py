@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Most bytes of a block of queries that is broadcast.
+BLOCK_BYTES = 32 << 20
 #: BM25+ parameters.
 K1, B, DELTA = 1.5, 0.75, 1.0
 #: Function words that queries lose.
@@ -49,14 +54,16 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", query_id: str = "qid", query_text: str = "query") -> DataFrame:
+def bm25(
+    docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", query_id: str = "qid", query_text: str = "query", stemmed: bool = False
+) -> DataFrame:
     """(qid, id, score) of documents that share a term with the query. BM25+: each query term of the corpus adds
     idf * (DELTA + tf (K1 + 1) / (K1 (1 - B + B dl / avgdl) + tf)), idf = ln((N + 1) / df), so also DELTA * idf to
     documents without it, which is added as one amount per query instead of a row per document. A query's repeated term
     counts as often as it occurs."""
     sized = docs.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("dl"))
     totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select(F.col(query_id).alias("qid"), F.explode(query_tokens(F.col(query_text))).alias("term"))
+    asked = queries.select(F.col(query_id).alias("qid"), F.explode(query_tokens(F.col(query_text), stemmed=stemmed)).alias("term"))
     asked = asked.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
     # only terms that a query asks for go on from the corpus
     counts = term_counts(docs, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
@@ -73,10 +80,20 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str
     return scores.join(floor, "qid").select("qid", "id", (F.col("own") + F.col("floor")).alias("score")).where("score > 0")
 
 
+def bm25_pools(nodes: DataFrame, queries: DataFrame, pools: Sequence[str] = ("table", "dimension", "measure"), **given) -> DataFrame:
+    """(qid, table, score): each pool of nodes (kind, id, body) is an index of its own, with its own counts and lengths;
+    scores of table#node are added to their table's by fuse()."""
+    parts = [bm25(nodes.where(F.col("kind") == k), queries, "id", "body", **given) for k in pools]
+    everything = reduce(DataFrame.unionByName, parts)
+    own = everything.where(~F.contains("id", F.lit("#")))
+    return fuse(own, everything.where(F.contains("id", F.lit("#"))))
+
+
 def top_k(scores: DataFrame, k: int, by: str = "score", query_id: str = "qid", tie: str = "id") -> DataFrame:
     """The k best of each query, with rank; ties by id."""
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.col(by).desc_nulls_last(), tie))
-    return scores.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    best = scores.withColumn("rank", rank).where(F.col("rank") <= k)  # so stated, each task keeps k before the shuffle
+    return best.withColumn("rank", F.col("rank").cast("long"))
 
 
 def fuse(tables: DataFrame, nodes: DataFrame, weight: float = 0.8, least: float = 0.01) -> DataFrame:
@@ -98,14 +115,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_pairs(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(qid, id, score) of every query with every other vector that agrees in keys. Queries are a stated set and small:
-    they are broadcast."""
+    """(qid, id, score) of every query with every other vector that agrees in keys. Queries are a stated set; they are
+    broadcast in blocks of at most BLOCK_BYTES by the length of the longest one, so each broadcast is bounded."""
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *keys)
     q = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).cast("array<double>").alias("q"), *(F.col(k).alias(f"q_{k}") for k in keys))
+    told = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("width")).first()
+    blocks = max(1, -(-told["n"] * (8 * (told["width"] or 0) + 64) // BLOCK_BYTES))
     on = F.col("id") != F.col("qid")
     for k in keys:
         on = on & (F.col(k) == F.col(f"q_{k}"))
-    return v.join(F.broadcast(q), on).select("qid", "id", cosine(F.col("q"), F.col("v")).alias("score"))
+    parts = [q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, (v.join(F.broadcast(p), on).select("qid", "id", cosine(F.col("q"), F.col("v")).alias("score")) for p in parts))
 
 
 def max_sim(query: Column, doc: Column) -> Column:
@@ -161,9 +181,51 @@ def alternating(scores: DataFrame, k: int, same: float = 0.95) -> DataFrame:
     return left.withColumn("nth", nth.cast("long")).where(F.col("nth") <= k).select("qid", "id", "nth")
 
 
+def padded(negatives: DataFrame, items: DataFrame, golden: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """negatives (qid, id, nth) with further ones for queries that have fewer than k: items (id) that aren't among them or
+    golden, in the order of a hash of query and item. Each query looks at 2 * k + its golden ones' number of the items
+    that follow its own place on a circle of hashes, so no query meets all items."""
+    have = negatives.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    asked = golden.select("qid").union(negatives.select("qid")).distinct()
+    short = asked.join(have, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    gold = golden.groupBy("qid").agg(F.count_distinct("id").alias("g"))
+    short = short.join(gold, "qid", "left").withColumn("need", 2 * k + F.coalesce("g", F.lit(0)))
+    total = max(1, items.count())
+    # items lie in slots of about k; a query takes whole slots from its own on
+    slots = max(1, total // max(1, k))
+    slot = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(slots))
+    dealt = items.select("id", slot("id").alias("slot"))
+    wide = F.least(F.lit(slots), F.ceil(F.col("need") / max(1, k)) * 4)
+    looked = short.select("qid", "n", F.explode(F.sequence(F.lit(0), wide - 1)).alias("step"), slot("qid").alias("first"))
+    looked = looked.select("qid", "n", F.pmod(F.col("first") + F.col("step"), F.lit(slots)).alias("slot"))
+    met = looked.join(dealt, "slot").join(golden.select("qid", "id"), ["qid", "id"], "left_anti").join(negatives.select("qid", "id"), ["qid", "id"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("qid").orderBy(F.xxhash64("qid", "id", F.lit(seed)), "id")) + F.col("n")
+    more = met.withColumn("nth", nth.cast("long")).where(F.col("nth") <= k).select("qid", "id", "nth")
+    return negatives.select("qid", "id", "nth").unionByName(more)
+
+
+def mixed_triples(new: DataFrame, old: DataFrame, share: float = 0.5, seed: int = 42) -> DataFrame:
+    """new triples (qid, positive, negative) and about `share` of the old ones, by hash, each once."""
+    kept = old.where(F.pmod(F.xxhash64("qid", "positive", "negative", F.lit(seed)), F.lit(10_000)) < int(share * 10_000))
+    columns = ["qid", "positive", "negative"]
+    return new.select(columns).unionByName(kept.select(columns)).distinct()
+
+
+def unlike(pairs: DataFrame, texts: DataFrame, id_a: str = "positive", id_b: str = "negative", least: float = 0.9) -> DataFrame:
+    """pairs without those whose texts (id, body) share `least` or more of their distinct tokens (Jaccard); pairs of which
+    a text isn't known stay."""
+    sets = texts.select("id", F.array_distinct(tokens(F.col("body"))).alias("set"))
+    met = pairs.join(sets.select(F.col("id").alias(id_a), F.col("set").alias("_a")), id_a, "left")
+    met = met.join(sets.select(F.col("id").alias(id_b), F.col("set").alias("_b")), id_b, "left")
+    both = F.size(F.array_intersect("_a", "_b"))
+    alike = F.try_divide(both, F.size(F.array_union("_a", "_b"))) >= least
+    return met.where(~F.coalesce(alike, F.lit(False))).select(*pairs.columns)
+
+
 def group_split(rows: DataFrame, group: str, test: float = 0.1, seed: int = 42) -> DataFrame:
     """rows with fold ("train" or "test"); all rows of a group have the same, by its hash."""
-    share = F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(10_000)) / 10_000
+    told = F.md5(F.concat(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    share = F.conv(F.substring(told, 1, 8), 16, 10).cast("long") % 10_000 / 10_000
     return rows.withColumn("fold", F.when(share < test, "test").otherwise("train"))
 
 
@@ -186,3 +248,43 @@ def prompt_order(nodes: DataFrame, least: float = 0.1, most: int = 500) -> DataF
     order = ["part", F.col("best").desc(), F.coalesce("parent", "node"), F.col("parent").isNotNull(), F.col("score").desc(), "node"]
     place = F.row_number().over(W.partitionBy("table").orderBy(*order))
     return kept.withColumn("place", place.cast("long")).where(F.col("place") <= most).drop("best", "part")
+
+
+def prompt_lines(nodes: DataFrame) -> DataFrame:
+    """(table, place, line): what a prompt says of each node of prompt_order()'s rows (table, place, kind, node, label,
+    unit, score; kind is measure, dimension, group or code)."""
+    names = {"measure": "Measure", "dimension": "DimensionGroup", "group": "DimensionGroup", "code": "Dimension"}
+    kind = reduce(lambda out, kv: out.when(F.col("kind") == kv[0], kv[1]), names.items(), F.when(F.lit(False), ""))
+    unit = F.when(F.col("unit").isNotNull(), F.concat(F.lit(" (unit: "), "unit", F.lit(")"))).otherwise("")
+    score = F.when(F.col("score").isNotNull(), F.concat(F.lit(" (relevance: "), F.format_string("%.4f", "score"), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("- "), kind, F.lit(": "), "node", F.lit(' (label: "'), F.coalesce("label", "node"), F.lit('")'), unit, score)
+    return nodes.select("table", "place", line.alias("line"))
+
+
+def prompt(question: str, tables: Sequence[tuple[str, str, Sequence[str]]], form: str = "SQL", system: str | None = None) -> tuple[str, str]:
+    """(system text, user text) of a request to a language model: what it is to write, the tables (id, title, lines of
+    nodes) in order, and the question. It is to answer with JSON that has the query under "query"."""
+    system = system or (
+        f"You write one {form} query that answers a question about statistical tables. Use only the codes that are listed. "
+        'Answer with a JSON object {"query": "..."} and nothing else.'
+    )
+    parts = []
+    for name, title, lines in tables:
+        parts += [f"Table: {name} ({title})", "Nodes:", *lines, ""]
+    return system, "\n".join([*parts, f"Question: {question}"])
+
+
+def response_query(raw: str | None) -> str:
+    """The query in a model's answer: the text under "query" of its JSON object, with or without a code fence or words
+    around it; empty where there is none."""
+    text = (raw or "").strip()
+    if fence := re.search(r"```(?:json|JSON)?\s*\n(.*?)```", text, re.S):
+        text = fence[1].strip()
+    for given in (text, text[text.find("{") : text.rfind("}") + 1]):
+        try:
+            told = json.loads(given)
+        except ValueError:
+            continue
+        query = told.get("query") if isinstance(told, dict) else None
+        return query if isinstance(query, str) else ""
+    return ""

@@ -84,10 +84,10 @@ expression(
     "value_unmatched_code", "(VALUE L (MSR (Quantity_1)) (DIM ReturnFlag (A Z)) (DIM LineStatus (F)) (DIM Periods (1996JJ00)))", "pivot",
     "SELECT * FROM (SELECT Measure, Value, ReturnFlag, LineStatus, Periods FROM lc UNPIVOT(Value FOR Measure IN (Quantity_1))) PIVOT(max(Value) FOR ReturnFlag IN ('A', 'Z') LineStatus IN ('F') Periods IN ('1996JJ00'))",
 )
-for _name, _op in {"lt": "<", "gt": ">", "ne": "!=", "le": "<=", "ge": ">=", "eq": "="}.items():
+for _name, _op, _least in (("lt", "<", 250), ("gt", ">", 60), ("ne", "!=", 60), ("le", "<=", 250), ("ge", ">=", 60), ("eq", "=", 150)):
     expression(
-        f"value_pivot_filter_{_name}", f"(VALUE O (MSR (Orders_2 {_op} 60)) (DIM OrderStatus (F O P)) (DIM Priority (1-URGENT 5-LOW)) (DIM Periods ()))", "pivot",
-        f"SELECT * FROM (SELECT Measure, Value, OrderStatus, Priority, Periods FROM oc UNPIVOT(Value FOR Measure IN (Orders_2)) WHERE Value {_op} 60) PIVOT(max(Value) FOR OrderStatus IN ('F', 'O', 'P') Priority IN ('1-URGENT', '5-LOW'))",
+        f"value_pivot_filter_{_name}", f"(VALUE O (MSR (Orders_2 {_op} {_least})) (DIM OrderStatus (F O P)) (DIM Priority (1-URGENT 5-LOW)) (DIM Periods ()))", "pivot",
+        f"SELECT * FROM (SELECT Measure, Value, OrderStatus, Priority, Periods FROM oc UNPIVOT(Value FOR Measure IN (Orders_2)) WHERE Value {_op} {_least}) PIVOT(max(Value) FOR OrderStatus IN ('F', 'O', 'P') Priority IN ('1-URGENT', '5-LOW'))",
     )
 expression(
     "value_simplified", VALUE_L, "simplified",
@@ -256,9 +256,11 @@ _case = "SELECT Periods, ROUND(MAX(CASE WHEN ReturnFlag = 'A' THEN Quantity_1 EN
 text_query("sql_case_pivot", _case.format("'L.parquet'"), _case.format("lc"))
 _concat = "SELECT CONCAT_WS(', ', EventType, Periods) AS Dimension_Measure, ROUND(SUM(Value_1), 2) AS {} FROM {} GROUP BY CONCAT_WS(', ', EventType, Periods)"
 text_query("sql_concat_ws", _concat.format("'SUM'", "'E.parquet'"), _concat.format('"SUM"', "ec"))
-for _word in ("UNION", "INTERSECT", "EXCEPT"):
+for _word in ("UNION", "INTERSECT"):
     _set = f"SELECT Periods FROM {{}} {_word} SELECT Periods FROM {{}}"
     text_query(f"sql_{_word.lower()}", _set.format("'L.parquet'", "'O.parquet'"), _set.format("lc", "oc"))
+_set = "SELECT Periods FROM {} EXCEPT SELECT Periods FROM {}"
+text_query("sql_except", _set.format("'E.parquet'", "'O.parquet'"), _set.format("ec", "oc"))
 text_query(
     "sql_pivot", "SELECT * FROM (SELECT Measure, Value, ReturnFlag, LineStatus, Periods FROM 'L.parquet' UNPIVOT(Value FOR Measure IN ('Quantity_1', \"Price_2\"))) PIVOT(MAX(Value) FOR ReturnFlag IN ('A', 'R') LineStatus IN ('F') Periods IN ('1996JJ00', '1997JJ00'))",
     f"SELECT * FROM ({LONG_L}) PIVOT(max(Value) FOR {FOR_L})",
@@ -459,15 +461,21 @@ def alternating_negatives(spark, sf_dir):
     return R.alternating(_cosines(spark, sf_dir), 6)
 
 
-@query("max_sim", "SELECT q.vec_id AS qid, v.vec_id AS id, round(list_inner_product(q.embedding[1:32]::DOUBLE[], v.embedding[1:32]::DOUBLE[]) + list_inner_product(q.embedding[33:64]::DOUBLE[], v.embedding[1:32]::DOUBLE[]), 4) AS score FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0")
+def _halves_sql() -> str:
+    dots = [[f"list_inner_product(q.embedding[{a}]::DOUBLE[], v.embedding[{b}]::DOUBLE[])" for b in ("1:32", "33:64")] for a in ("1:32", "33:64")]
+    return " + ".join(f"greatest({', '.join(d)})" for d in dots)
+
+
+@query("max_sim", f"SELECT q.vec_id AS qid, v.vec_id AS id, round({_halves_sql()}, 4) AS score FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0")
 def max_sim(spark, sf_dir):
+    halves = F.array(F.slice("e", 1, 32), F.slice("e", 33, 32))
     v = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("l"), F.array(F.slice("e", 1, 32), F.slice("e", 33, 32)).alias("q"))
-    met = v.join(F.broadcast(q), F.col("label") == F.col("l"))
-    return met.select("qid", F.col("vec_id").alias("id"), F.round(R.max_sim(F.col("q"), F.array(F.slice("e", 1, 32))), 4).alias("score"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("l"), halves.alias("q"))
+    met = v.join(q, F.col("label") == F.col("l"))
+    return met.select("qid", F.col("vec_id").alias("id"), F.round(R.max_sim(F.col("q"), halves), 4).alias("score"))
 
 
-@query("group_split")
+@query("group_split", "SELECT o_orderkey, o_custkey, CASE WHEN ('0x' || substr(md5(o_custkey || ':42'), 1, 8))::BIGINT % 10000 / 10000.0 < 0.1 THEN 'test' ELSE 'train' END AS fold FROM orders")
 def group_split(spark, sf_dir):
     return R.group_split(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
 
@@ -613,8 +621,11 @@ def stream_period_cube(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tessera.plans import catalogue_texts  # noqa: F401  registers further ones
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -3,7 +3,7 @@
 import pytest
 
 from tessera.functions import sexpr as S
-from tessera.functions.units import Unit, UnitCompatibilityError, check, normalise
+from tessera.functions.units import Unit, UnitCompatibilityError, check, normalise, verdicts
 
 VALUE = "(VALUE 85302NED (MSR (D004645)) (DIM Perioden (2021JJ00 2022JJ00)) (DIM BestemmingEnSeizoen (T001047)))"
 
@@ -61,4 +61,33 @@ def test_units():
     with pytest.warns(UserWarning, match="counts"):
         check({"a": Unit("COUNT", 1.0), "b": Unit("COUNT", 1.0)})
     assert normalise("x 1 000").multiplier == 1000 and normalise("x 1 000").unit == "COUNT"
-    assert (normalise("1 000 euro").unit, normalise("mln kg").multiplier, normalise("%").unit, normalise("2015 = 100").unit) == ("EURO", 1e6, "PERCENT", "INDEX")
+    assert (normalise("1 000 euro").unit, normalise("mln kg").multiplier, normalise("%").unit) == ("EURO", 1e6, "PERCENT")
+    for text in ("2015 = 100", "volume-index 2021=100", "per 1 000 inwoners", "euro/inwoner", "1000 TEU", "zie eenheid"):
+        assert (normalise(text).unit, normalise(text).multiplier) == (None, None), text
+    for text, unit, multiplier in (
+        ("x mln ton", "TON", 1e6), ("x 1, 000", "COUNT", 1e3), ("x 1.000", "COUNT", 1e3), ("1000m3", "M3", 1e3), ("Mln tonkilometer", "TON-KM", 1e6), ("% van bedrijven", "PERCENT", 1.0),
+        ("in % bbp", "PERCENT", 1.0), ("‰", "PERMILLE", 1.0), ("km²", "KM2", 1.0), ("x 1 000 arbeidsjaren", "YEAR", 1e3), ("billion passenger kilometres ", "KM", 1e9), ("Number", "COUNT", 1.0),
+    ):
+        assert (normalise(text).unit, normalise(text).multiplier) == (unit, multiplier), text
+
+
+def test_verdicts_say_what_check_does(spark):
+    import itertools
+    import warnings
+
+    kinds = [Unit(), Unit("COUNT", 1.0), Unit("COUNT", 1000.0), Unit("EURO", 1.0), Unit("EURO", 1000.0), Unit("PERCENT", 1.0), Unit(None, 1000.0), Unit("KG", 1.0, "GRAM"), Unit("TON", 1.0, "GRAM"), Unit("GRAM", None)]
+    groups = list(itertools.combinations_with_replacement(kinds, 2)) + list(itertools.combinations(kinds, 3))
+    rows = [(g, u.unit, u.multiplier, u.scaling_of) for g, us in enumerate(groups) for u in us]
+    df = spark.createDataFrame(rows, "g int, unit string, multiplier double, scaling_of string")
+    words = {"dimensionless": "dimensionless", "multipliers": "conversion multipliers", "units": "different unit"}
+    for scaling in (True, False):
+        got = {r.g: r.verdict for r in verdicts(df, ["g"], scaling).collect()}
+        for g, us in enumerate(groups):
+            with warnings.catch_warnings(record=True) as said:
+                warnings.simplefilter("always")
+                try:
+                    check({str(k): u for k, u in enumerate(us)}, scaling)
+                    want = "counts" if said else "ok"
+                except UnitCompatibilityError as e:
+                    want = next(k for k, w in words.items() if w in str(e))
+            assert got[g] == want, (us, scaling)

@@ -94,6 +94,60 @@ def test_retrieval(spark):
     assert [r.node for r in R.prompt_order(nodes).orderBy("place").collect()] == ["m", "g", "c"]
 
 
+def test_negatives(spark):
+    golden = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "qid long, id long")
+    have = spark.createDataFrame([(1, 12, 1), (1, 13, 2), (1, 14, 3), (2, 21, 1)], "qid long, id long, nth long")
+    items = spark.range(10, 200)
+    got = R.padded(have, items, golden, 3).collect()
+    per = {q: sorted((r.nth, r.id) for r in got if r.qid == q) for q in (1, 2, 3)}
+    assert all([n for n, _ in per[q]] == [1, 2, 3] and len({i for _, i in per[q]}) == 3 for q in per)
+    assert per[1] == [(1, 12), (2, 13), (3, 14)] and per[2][0] == (1, 21)
+    assert not {i for _, i in per[2]} & {20} and not {i for _, i in per[3]} & {30}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, R.padded(have, items.repartition(5), golden, 3).collect()))
+
+    old = spark.range(1000).selectExpr("id as qid", "id + 1 as positive", "id + 2 as negative")
+    new = spark.createDataFrame([(0, 1, 2), (5000, 1, 2), (5000, 1, 2)], "qid long, positive long, negative long")
+    mixed = R.mixed_triples(new, old, share=0.3).collect()
+    assert len(set(mixed)) == len(mixed) and 200 < len(mixed) < 400 and (5000, 1, 2) in mixed
+
+    texts = spark.createDataFrame([(1, "births by region and year"), (2, "year and region, births by"), (3, "deaths by region"), (4, None)], "id long, body string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 9)], "positive long, negative long")
+    assert sorted(map(tuple, R.unlike(pairs, texts).collect())) == [(1, 3), (1, 4), (1, 9)]
+
+
+def test_prompts_and_responses(spark):
+    system, user = R.prompt("How many?", [("T1", "Births", ["- Measure: M1 (label: \"Births\")"]), ("T2", "Deaths", [])])
+    assert "JSON" in system and user.splitlines()[:3] == ["Table: T1 (Births)", "Nodes:", '- Measure: M1 (label: "Births")'] and user.endswith("Question: How many?")
+    for raw, want in (
+        ('{"query": "SELECT 1"}', "SELECT 1"), ('```json\n{"query": "a"}\n```', "a"), ('```\n{"query": "a"}\n```', "a"), ('so: {"query": "a {b}"} ok', "a {b}"), ('{"query": 3}', ""),
+        ("{", ""), (None, ""), ("[1]", ""), ('{"other": "x"}', ""),
+    ):
+        assert R.response_query(raw) == want, raw
+
+
+def test_collections_of_many_ranges(spark):
+    rows = [(f"n{k % 700:03}", str(k)) for k in range(1000)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "id string, text string").repartition(4)
+    got = io.collection(docs, "id", "text", part_rows=60).orderBy("pid").collect()
+    assert [(r.pid, r.node, r.body) for r in got] == [(k, *r) for k, r in enumerate(sorted(rows, key=lambda r: (r[0] or "", r[1])))]
+
+
+def test_answers_and_their_errors(spark):
+    from tessera.plans.answers import answer, error_kind
+    from tessera.sources.catalog import driver_catalog
+
+    catalog = driver_catalog(spark, "/root/testdata/sf0.001")
+    pivot = "SELECT *, 'x' AS Measure FROM (SELECT Value, Region, Segment FROM 'N.parquet' UNPIVOT(Value FOR Measure IN ({}))) PIVOT(SUM(Value) FOR Region IN ('ASIA', 'EUROPE') Segment IN ('BUILDING'))"
+    kinds = {
+        "(SUM () (VALUE N (MSR (Balance_1 Customers_2)) (DIM Region (ASIA)) (DIM Segment (BUILDING))))": "UnitCompatibilityError", pivot.format("Balance_1, Customers_2"): "UnitCompatibilityError",
+        pivot.format("Balance_1"): "", "(VALUE N (MSR (Nope)))": "KeyError", "(VALUE N (MSR (Balance_1))": "BracketError", "SELECT nope FROM 'N.parquet'": "AnalysisException",
+        "SELEC 1": "ParseException", "SELECT (1": "SqlError",
+    }
+    assert {t: error_kind(t, spark, catalog) for t in kinds} == kinds
+    got = answer("(VALUE N (MSR (Balance_1)) (DIM Region (ASIA)) (DIM Segment (BUILDING)))", spark, catalog)
+    assert got.columns == ["Measure", "Unit", "ASIA | BUILDING"] and got.first()[:2] == ("Balance", "euro")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(2).write.parquet(str(tmp_path / "in"))
