@@ -68,32 +68,46 @@ def _weighed(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return mean + (x[:, :-1] - mean) * x[:, -1:]
 
 
+class Model:
+    """From whole texts to the probability of label 1, by dictionaries of good and of bad text, the mean features and a
+    calibration."""
+
+    def __init__(self, good: bytes, bad: bytes):
+        self.good, self.bad = good, bad
+        self.mean: np.ndarray | None = None
+        self.calibration: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:  # dictionaries can't be pickled: each worker loads them once
+        return {k: v for k, v in vars(self).items() if k != "_loaded"}
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        if "_loaded" not in vars(self):
+            self._loaded = _features(self.good, self.bad)
+        return self._loaded(texts)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return probability(_weighed(self.features(texts), self.mean), self.calibration)
+
+
 def fit(bad: list[str], good: list[str], ones: float | None = None) -> Callable[[list[str]], np.ndarray]:
-    """A function from whole texts to the probability of label 1. The dictionaries are built from three quarters of the
-    texts, without lines that several of them share (copies and boilerplate say nothing about a label); the calibration
-    is a logistic regression on the rest, moved to the odds `ones` of label 1 (by default those of the texts)."""
+    """The Model of labelled texts; without texts of either label a constant. The dictionaries are built from three quarters
+    of the texts, without lines that several of them share (copies and boilerplate say nothing about a label); the
+    calibration is a logistic regression on the rest, moved to the odds `ones` of label 1 (by default those of the
+    texts)."""
     if not bad or not good:  # one label only, or none: there is nothing to tell apart
         p = 0.5 if not bad and not good else float(bool(good))
         return lambda texts: np.full(len(texts), p)
     (b0, g0), (b1, g1) = fit_split(bad, good)
     lines = Counter(line for t in [*b0, *g0] for line in set(t.split("\n")))
     own = lambda texts: ["\n".join(x for x in t.split("\n") if lines[x] == 1) for t in texts]
-    raw = _dictionary(own(g0)), _dictionary(own(b0))
-    features = _features(*raw)
-    x = features([*b1, *g1])
+    model = Model(_dictionary(own(g0)), _dictionary(own(b0)))
+    x = model.features([*b1, *g1])
     y = np.r_[np.zeros(len(b1)), np.ones(len(g1))]
-    mean = x[:, :-1].mean(0)
-    model = logistic(_weighed(x, mean), y)
+    model.mean = x[:, :-1].mean(0)
+    model.calibration = logistic(_weighed(x, model.mean), y)
     if ones is not None:
-        model[2][-1] += np.log(ones * len(b1) / len(g1))
-    made: list = []  # dictionaries can't be pickled: each worker loads them once
-
-    def score(texts: list[str]) -> np.ndarray:
-        if not made:
-            made.append(_features(*raw))
-        return probability(_weighed(made[0](texts), mean), model)
-
-    return score
+        model.calibration[2][-1] += np.log(ones * len(b1) / len(g1))
+    return model
 
 
 def classify_quality(

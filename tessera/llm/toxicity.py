@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -68,9 +69,29 @@ def _fit_linear(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, b
 
 
+@dataclass
+class Model:
+    """From whole texts to the probability of label 1: the weight of each bucket that an n-gram of the text is in, added up
+    once, and calibrated. A bucket's weight is its log-count ratio times what the fit gave it; most are 0."""
+
+    weights: np.ndarray
+    constant: float
+    calibration: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        out = np.empty((len(texts), 1))
+        for k, t in enumerate(texts):
+            grams = _grams(t)
+            out[k, 0] = self.weights[np.unique(grams[self.weights[grams] != 0])].sum(dtype=np.float64) + self.constant
+        return out
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return probability(self.sums(texts), self.calibration)
+
+
 def fit(clean: list[str], toxic: list[str]) -> Callable[[list[str]], np.ndarray]:
-    """A function from whole texts to the probability of label 1: presence of each chosen n-gram times its log-count
-    ratio times its weight, added up. Three quarters of the texts give the weights, the rest calibrates the sum."""
+    """The Model of labelled texts; without texts of either label a constant. Three quarters of the texts give the weights,
+    the rest calibrates the sum."""
     if not clean or not toxic:
         p = 0.5 if not clean and not toxic else float(bool(toxic))
         return lambda texts: np.full(len(texts), p)
@@ -90,17 +111,10 @@ def fit(clean: list[str], toxic: list[str]) -> Callable[[list[str]], np.ndarray]
     w, b = _fit_linear(x, y)
     weights = np.zeros(BUCKETS, dtype=np.float32)
     weights[chosen] = w * ratio[chosen].astype(np.float32)
-
-    def sums(texts: list[str]) -> np.ndarray:
-        out = np.empty((len(texts), 1))
-        for k, t in enumerate(texts):
-            grams = _grams(t)
-            out[k, 0] = weights[np.unique(grams[weights[grams] != 0])].sum(dtype=np.float64) + b
-        return out
-
+    model = Model(weights, float(b))
     held = np.r_[np.zeros(len(clean_check)), np.ones(len(toxic_check))]
-    model = logistic(sums([*clean_check, *toxic_check]), held, ridge=1e-4)
-    return lambda texts: probability(sums(texts), model)
+    model.calibration = logistic(model.sums([*clean_check, *toxic_check]), held, ridge=1e-4)
+    return model
 
 
 def classify_toxicity(

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import BROADCAST_BYTES, stored
+from tessera.llm.shared import BROADCAST_BYTES, stored, with_key
 
 #: Bits set in the one 64-bit block of a key.
 PROBES = 6
+#: Bytes that a row of the list takes, about.
+KEY_BYTES = 256
 #: Bits of filter for a listed key, rounded up to a power of two of blocks.
 BITS_A_KEY = 16
 
@@ -68,7 +70,8 @@ def judge_urls(
 
     A url asks for its host's suffixes, each with the path's prefixes of those lengths that rules have, and for itself.
     These keys pass the blocked Bloom filter, which is broadcast (its size is bounded) and joined by block; what it
-    passes meets the list in an exact equi-join, and only those rows are shuffled.
+    passes meets the list in an exact hash join: with all of it broadcast where its counted size allows that, else with
+    the rows of the keys that very many pages ask for broadcast and the others shuffled.
 
     Null urls and urls without :// have empty host and path, fit no rule and get default. Null rules or listed urls are
     ignored; repeated rules count once (block before allow if both are given for one key). Repeated pages each get a
@@ -110,7 +113,7 @@ def judge_urls(
     probes = page.where("host <> '' or path <> ''").select("row", F.explode(F.array_distinct(F.flatten(F.array(*asked)))).alias("key"))
     probes = probes.select("row", "key", block_of(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("need"))
     passed = probes.join(F.broadcast(filt), "block").where(F.col("mask").bitwiseAND(F.col("need")) == F.col("need"))
-    hits = passed.select("row", "key").join(wanted, "key")
+    hits = _exact(passed.select("row", "key"), wanted)
     # rules before the list, then the longest, then the first by code points
     order = F.struct(F.col("rule").isNull(), -F.coalesce(F.length("rule"), F.lit(0)), "rule", "verdict")
     best = hits.groupBy("row").agg(F.min(order).alias("best"))
@@ -123,5 +126,14 @@ def judge_urls(
     )
 
 
+def _exact(hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """hits (row, key) that wanted really holds, with its columns."""
+    if wanted.count() * KEY_BYTES <= BROADCAST_BYTES:
+        return hits.join(F.broadcast(wanted), "key")
+    hits = stored(hits)
+    asked = hits.groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
+    return with_key(hits, stored(wanted.join(asked, "key")), ["key"])
+
+
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rules, RULES)

@@ -1,15 +1,18 @@
 """Operators 5, 7 and 8: held-out accuracy, exact round trips, odd rows."""
 
+import math
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import ngram_join, packing, quality, queries, substring_dedup, toxicity
-from tessera.llm.labelled import fold, sample
+from tessera.llm.labelled import fold, odds, sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,6 +54,63 @@ def test_classifiers_are_functions_of_the_text(spark, odd_docs):
     assert g(["plain words of a text that read well, every one of them " * 5])[0] > g(["%%% ### $$$ &&& $$$ ### %%% " * 10])[0]
 
 
+def plain_probability(x, model):
+    mean, scale, w = model.calibration
+    z = sum((a - m) / c * v for a, m, c, v in zip(x, mean, scale, w[:-1], strict=True)) + w[-1]
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def plain_toxicity(model, text):
+    """The toxicity score by plain loops over n-grams and their hashes."""
+    mask, letters = 0xFFFFFFFF, [ord(c) for c in " " + " ".join(text.lower().split()) + " "]
+    letters = [(c * 0x9E3779B1) & mask for c in letters]
+    letters = [c ^ (c >> 15) for c in letters]
+    buckets = set()
+    for n in toxicity.GRAMS:
+        for at in range(len(letters) - n + 1):
+            h = 0
+            for c in letters[at : at + n]:
+                h = (h * 0x01000193 + c) & mask
+            buckets.add((((h ^ (h >> 16)) * 0x85EBCA6B) & mask) >> 12)
+    return plain_probability([sum(float(model.weights[b]) for b in buckets) + model.constant], model)
+
+
+def plain_quality(model, text):
+    """The quality score by plain compression of the pieces of a text with either dictionary."""
+    raw = text.encode("utf-8", "surrogatepass")
+    pieces = [raw[i : i + quality.PIECE] for i in range(0, len(raw), quality.PIECE)]
+    if not pieces:
+        return plain_probability(list(model.mean), model)
+    size = {}
+    for name in ("good", "bad"):
+        d = zstandard.ZstdCompressionDict(getattr(model, name))
+        size[name] = [len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(p)) for p in pieces]
+    gain = [b - g for b, g in zip(size["bad"], size["good"], strict=True)]
+    rate = (sum(size["good"]) + sum(size["bad"])) / (2 * len(raw))
+    x = [sum(gain) / max(len(raw), 32), statistics.median(g / max(len(p), 32) for g, p in zip(gain, pieces, strict=True)), rate, rate * rate]
+    worth = len(raw) / (len(raw) + quality.FAINT)
+    return plain_probability([m + (a - m) * worth for a, m in zip(x, model.mean, strict=True)], model)
+
+
+@pytest.mark.parametrize("module, label, of, out", [(quality, "quality", 4, 2), (toxicity, "toxic", 3, 1)])
+def test_scores_match_plain_code_and_other_folds_say_nothing(spark, module, label, of, out):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    usable = lambda i: fold(i, of) != out
+    classify = quality.classify_quality if module is quality else toxicity.classify_toxicity
+    got = {r.doc_id: r.score for r in classify(docs, labels, usable).collect()}
+    zero, one = sample(docs, labels, label, usable, module.SAMPLE_ROWS, module.SAMPLE_BYTES)
+    model = module.fit(zero, one, odds(labels, label, usable)) if module is quality else module.fit(zero, one)
+    plain = plain_quality if module is quality else plain_toxicity
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    for i, t in texts:
+        if len(t) < 20_000:
+            assert abs(got[i] - plain(model, t)) < 1e-5, i
+    turned = labels.withColumn(label, F.when(usable(F.col("doc_id")), F.col(label)).otherwise(1 - F.col(label)))
+    assert turned.exceptAll(labels).count() > 0
+    assert {r.doc_id: r.score for r in classify(docs, turned, usable).collect()} == got
+
+
 BIG = 1 << 60
 
 

@@ -4,9 +4,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, pii, queries, url_filter
+from tessera.llm import exact_dedup, mixing, pii, queries, shared, url_filter
 
 
 def rows_of(df):
@@ -128,7 +129,11 @@ def test_mixed_repeats_rows(odd_docs):
         assert counts[i] == (round(r["taken"] / r["size"] + 1e-9) if r["size"] else 0)
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_urls(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", max(most, 1024))
+    monkeypatch.setattr(url_filter, "KEY_BYTES", 256 if most else 1 << 20)
+    monkeypatch.setattr(shared, "HOT_ROWS", 1000 if most else 3)
     urls = [
         None, "", "no scheme", "http://Example.COM/en/x?y#z", "https://www.example.com/en/a", "https://a.www.example.com/en/", "ftp://b.net/es/q", "http://net/fr/",
         "http://xnet/fr/", "http://example.com", "http://example.com?en/", "a://b://c.com/", "http://é.com/x", "http://listed.org/p?q=1", "http://u@h.net:8/es/",
