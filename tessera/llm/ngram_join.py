@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import beside, components, sized, spanning, stored, texts_of, tidied
+from tessera.llm.shared import beside, components, sized, spanning, stored, texts_of
 from tessera.llm.shingles import Common, Words, count_common, of_ids, shingle_set
 
 #: Documents that a token may occur in before combinations of two stand for it.
@@ -80,7 +80,6 @@ def ngram_join(
     members = stored(rows.select(F.col("c").alias("id")).distinct())
     packed = stored(of_ids(docs, members, id_col, text_col, lambda texts: (shingle_set(w, n).tobytes() for w in words.each(texts)), "tokens"))
     packed = packed.groupBy("id").agg(F.first("tokens").alias("tokens"))
-    tidied(docs.sparkSession)
     edges = links.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
     edges = _linked(rows, packed, edges, threshold)
     nodes = components(edges)
@@ -130,7 +129,6 @@ def _linked(rows: DataFrame, packed: DataFrame, edges: DataFrame, t: Fraction) -
     pairs = pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct()
     found = stored(_verified(pairs, packed, t))
 
-    tidied(rows.sparkSession)
     now = _merged(_open(rows, found))
     sizes = now.groupBy("s").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum(F.col("n").cast("long"))).alias("bytes"))
     now = stored(now.join(sizes, "s"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Rows of a key from which it may count as hot, and most hot keys.
 HOT_ROWS, HOT_KEYS = 1_000, 100_000
+#: Setting under which Spark deletes a query's shuffle files at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Edges that one task joins to stars, on average.
 FOREST = 500_000
 
@@ -37,10 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: lineage ends here, and a lost executor costs
-    no recomputation of what came before."""
+    no recomputation of what came before. Shuffle files of the write go as soon as it is done, as nothing reads them any
+    more; the setting for that is put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(TIDY) if was is None else spark.conf.set(TIDY, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,13 +71,6 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidied(spark: SparkSession) -> None:
-    """Shuffle files go once the driver's JVM notices that nothing refers to them; this makes it notice now, between the
-    large steps of an operator, so that their files don't pile up on the executors' disks."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows times row_bytes stay within most; else df, to be shuffled.
     df should be a stored table, as it is counted."""

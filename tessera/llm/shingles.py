@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import beside, bounded_batches, dropped, sized, stored, texts_of, tidied
+from tessera.llm.shared import beside, bounded_batches, dropped, sized, stored, texts_of
 
 #: Bits of the maps of common tokens: between these powers of two, about two for each common token.
 LEAST_BITS, MOST_BITS = 20, 27
@@ -180,7 +180,6 @@ def count_common(docs: DataFrame, tokens_of, bounds: tuple[int, ...], text_col:
         for m, raw in zip(maps, r["maps"], strict=True):
             m[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(raw, dtype=np.uint8)
     dropped(told)
-    tidied(docs.sparkSession)
     return Common(bits, maps)
 
 
