@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import partial
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,27 +27,33 @@ class Cube:
 
 
 class Catalog:
-    """Cubes by name. Names may differ in case, as table ids do in practice."""
+    """Cubes by name. Names may differ in case, as table ids do in practice. A cube may be given as a function that makes
+    it, which is called when the cube is first asked for, so a query opens only the tables that it names."""
 
-    def __init__(self, cubes: Iterable[Cube] = ()):
+    def __init__(self, cubes: Iterable[Cube] = (), makers: dict[str, Callable[[], Cube]] | None = None):
         self._cubes = {c.name: c for c in cubes}
+        self._makers = dict(makers or {})
 
     def add(self, cube: Cube) -> None:
         self._cubes[cube.name] = cube
 
+    def _name(self, name: str) -> str | None:
+        names = [*self._cubes, *self._makers]
+        return name if name in names else next((k for k in names if k.lower() == name.lower()), None)
+
     def __getitem__(self, name: str) -> Cube:
-        if name in self._cubes:
-            return self._cubes[name]
-        for k, cube in self._cubes.items():
-            if k.lower() == name.lower():
-                return cube
-        raise KeyError(f"no cube named {name}")
+        known = self._name(name)
+        if known is None:
+            raise KeyError(f"no cube named {name}")
+        if known not in self._cubes:
+            self._cubes[known] = self._makers[known]()
+        return self._cubes[known]
 
     def __contains__(self, name: str) -> bool:
-        return any(k.lower() == name.lower() for k in self._cubes)
+        return self._name(name) is not None
 
     def __iter__(self):
-        return iter(self._cubes.values())
+        return iter([self[k] for k in dict.fromkeys([*self._makers, *self._cubes])])
 
 
 def cube_of(name: str, df: DataFrame, dims: Iterable[str] | None = None, measures: Iterable[str] | None = None, **given) -> Cube:
@@ -121,4 +128,5 @@ def nations_cube(spark: SparkSession, sf_dir: str) -> Cube:
 
 def driver_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The cubes of the driver's tables: lazy, so a query builds those that it names."""
-    return Catalog(f(spark, sf_dir) for f in (lineitem_cube, orders_cube, events_cube, nations_cube))
+    makers = {"L": lineitem_cube, "O": orders_cube, "E": events_cube, "N": nations_cube}
+    return Catalog(makers={name: partial(f, spark, sf_dir) for name, f in makers.items()})
