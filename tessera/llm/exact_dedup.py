@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import sized, stored, whole, with_key
+from tessera.llm.shared import fresh, sized, stored, whole, with_key
 
 
 def exact_dedup(
@@ -65,23 +65,24 @@ def keep_first(docs: DataFrame, **given) -> DataFrame:
     of its rows is kept; where some are, rows are told apart by id and text, and of those that share both, the one whose
     columns hash least stands for the kept one."""
     id_col, text_col = given.get("id_col", "doc_id"), given.get("text_col", "text")
-    found = exact_dedup(docs, **given).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
-    found = stored(found.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")))
-    ids = found.groupBy("_id").agg(F.sum("n").alias("n"), F.count_if(F.col("kept")).alias("stay"))
-    out = stored(ids.where("stay < n").select("_id", "stay"))
-    same = docs[id_col].eqNullSafe(F.col("_id"))
-    whole_ids = docs.join(sized(out.select("_id"), 16), same, "left_anti")
-    part = stored(out.where("stay > 0").select("_id"))
+    key, sha = fresh(docs, "id", "sha")  # names that the columns of docs can't clash with
+    found = exact_dedup(docs, **given).select(F.col(id_col).alias(key), F.col("text_sha256").alias(sha), "kept")
+    found = stored(found.groupBy(key, sha).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")))
+    ids = found.groupBy(key).agg(F.sum("n").alias("n"), F.count_if(F.col("kept")).alias("stay"))
+    out = stored(ids.where("stay < n").select(key, "stay"))
+    same = docs[id_col].eqNullSafe(F.col(key))
+    whole_ids = docs.join(sized(out.select(key), 16), same, "left_anti")
+    part = stored(out.where("stay > 0").select(key))
     if part.isEmpty():
         return whole_ids
     normalise = given.get("normalise") or (lambda c: c)
     some = docs.join(sized(part, 16), same, "left_semi").select(
-        F.col(id_col).alias("_id"),
-        F.sha2(normalise(whole(F.col(text_col))), 256).alias("_sha"),
-        F.struct(*docs.columns).alias("_row"),
-        F.xxhash64(*docs.columns).alias("_hash"),
+        F.col(id_col).alias("id"),
+        F.sha2(normalise(whole(F.col(text_col))), 256).alias("sha"),
+        F.struct(*docs.columns).alias("row"),
+        F.xxhash64(F.to_json(F.struct(*docs.columns))).alias("hash"),
     )
-    some = some.groupBy("_id", "_sha").agg(F.min_by("_row", "_hash").alias("_row"))
-    kept = found.where("kept").select(F.col("_id").alias("_k"), F.col("_sha").alias("_s"))
-    some = some.join(kept, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
-    return whole_ids.unionByName(some.select("_row.*"))
+    some = some.groupBy("id", "sha").agg(F.min_by("row", "hash").alias("row"))
+    kept = found.where("kept").select(F.col(key).alias("k"), F.col(sha).alias("s"))
+    some = some.join(kept, F.col("id").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")), "left_semi")
+    return whole_ids.unionByName(some.select("row.*"))

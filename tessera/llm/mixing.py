@@ -191,30 +191,29 @@ def mixed(docs: DataFrame, partitions: int | None = None, **given) -> DataFrame:
     spark = docs.sparkSession
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
     plan = _placed(docs, **given).select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("place").alias("_place"),
-        F.slice("positions", F.lit(1), times).alias("_ats"),
+        F.col(id_col).alias("p_id"), F.col(source_col).alias("p_source"), F.col("size").alias("p_size"), F.col("place").alias("p_place"),
+        F.slice("positions", F.lit(1), times).alias("ats"),
     )
     plan = stored(plan)
-    again = stored(plan.groupBy("_id").count().where("count > 1").select(F.col("_id").alias("_again")))
-    names, at = [F.col(c) for c in docs.columns], F.explode("_ats").alias("_at")
-    same = docs[id_col].eqNullSafe(F.col("_id"))
+    again = stored(plan.groupBy("p_id").count().where("count > 1").select(F.col("p_id").alias("again")))
+    # whole rows in one column, so that the names of docs can't clash with others
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text"))
+    at = F.explode("ats").alias("at")
     if again.isEmpty():
-        met = docs.join(plan.select("_id", at), same).select(*names, "_at", "_id")
+        met = rows.join(plan.select("p_id", at), F.col("id").eqNullSafe(F.col("p_id"))).select("row", "at", "id")
     else:
         again = sized(again, 16)
-        repeats = F.col("_id").eqNullSafe(F.col("_again"))
-        once = plan.join(again, repeats, "left_anti").select("_id", at)
-        met = docs.join(once, same).select(*names, "_at", "_id")
-        key = ["_id", "_source", "_size", "_place"]
-        nth = lambda by: F.row_number().over(W.partitionBy(*key).orderBy(*by))
-        many = plan.join(again, repeats, "left_semi").withColumn("_nth", nth(["_ats"]))
-        rows = docs.join(again, docs[id_col].eqNullSafe(F.col("_again")), "left_semi").select(
-            F.struct(*names).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"),
-            words(F.col(text_col)).alias("_size"), _place(F.col(id_col), F.col(text_col)).alias("_place"), F.xxhash64(*names).alias("_hash"),
-        )
-        rows = rows.withColumn("_nth", nth(["_hash"]))
-        given_to = many.select(*(F.col(c).alias(f"{c}2") for c in [*key, "_nth"]), at)
-        on = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in [*key, "_nth"]]
-        met = met.unionByName(rows.join(given_to, on).select("_row.*", "_at", "_id"))
+        repeats = F.col("p_id").eqNullSafe(F.col("again"))
+        once = plan.join(again, repeats, "left_anti").select("p_id", at)
+        met = rows.join(once, F.col("id").eqNullSafe(F.col("p_id"))).select("row", "at", "id")
+        key = ["id", "source", "size", "place"]
+        nth = lambda keys, by: F.row_number().over(W.partitionBy(*keys).orderBy(by))
+        many = plan.join(again, repeats, "left_semi").withColumn("p_nth", nth([f"p_{c}" for c in key], "ats"))
+        some = rows.join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi").select(
+            "row", "id", "source", words(F.col("text")).alias("size"), _place(F.col("id"), F.col("text")).alias("place"), F.xxhash64(F.to_json("row")).alias("hash")
+        )
+        some = some.withColumn("nth", nth(key, "hash"))
+        on = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in [*key, "nth"]]
+        met = met.unionByName(some.join(many, on).select("row", at, "id"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartitionByRange(n, "_at", "_id").sortWithinPartitions("_at", "_id").select(*docs.columns)
+    return met.repartitionByRange(n, "at", "id").sortWithinPartitions("at", "id").select("row.*")

@@ -101,6 +101,17 @@ def beside(ids: pa.Array, /, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *columns.values()], names=["id", *columns])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, made of the given ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -25,7 +25,8 @@ def odd_rows():
 @pytest.fixture()
 def odd_docs(spark, odd_rows):
     df = spark.createDataFrame(odd_rows, "doc_id long, text string, lang string, source string")
-    extra = {c: df["lang"] for c in ("h", "size", "row", "part", "n", "s", "c", "id", "component", "count")}
+    names = "h size row part n s c id component count _id _at _row _hash _sha _source _size _place _nth _again sha at ats again weight kept key score label place p_id k x y a b".split()
+    extra = {c: df["lang"] for c in names}
     return df.withColumns(extra)  # names that operators might use themselves
 
 

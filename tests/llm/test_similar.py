@@ -405,6 +405,25 @@ def test_pipeline_stages(spark, sf_dir):
     assert out.where("piece = 0").count() == n
 
 
+def test_stages_take_odd_rows_and_clashing_names(spark, odd_docs, no_docs, tmp_path):
+    labels = spark.createDataFrame([(0, 1, 0), (5, 0, 1), (6, 1, None), (None, 1, 1), (7, 0, 1), (40, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs, ids = odd_docs, {r.doc_id for r in odd_docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, str(tmp_path)).count() == 0, name
+        out = stage(spark, odd_docs, str(tmp_path))
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= ids and (name == "packing" or out.columns == docs.columns), name
+        if name == "exact_dedup":
+            assert len(rows) == len({r.text or "" for r in odd_docs.collect()})
+        if name == "packing":
+            assert len(rows) >= odd_docs.count()
+    hidden = odd_docs.withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    twice = hidden.unionByName(hidden)
+    assert corpus_pipeline.exact_stage(spark, twice, str(tmp_path)).count() == corpus_pipeline.exact_stage(spark, odd_docs, str(tmp_path)).count()
+    assert corpus_pipeline.mix_stage(spark, twice, str(tmp_path)).columns == twice.columns
+
+
 def test_stages_keep_repeated_rows_and_null_ids(spark, sf_dir):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e f g", "s"), (3, "d e f g", "t"), (3, "own text", "t"), (None, "n one", "s"),
             (None, "n two x", "s"), (None, "a b c", "s"), (4, None, "t"), (4, "", "t"), (5, "k l m n o", None)]
