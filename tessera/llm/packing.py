@@ -8,6 +8,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,10 @@ class Tokens:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         self.added = [t["content"] for t in told.get("added_tokens", [])]
         self.blanks = re.compile(r"\s{%d}" % BLANKS)
         self.fast = None
@@ -57,6 +57,13 @@ class Tokens:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def full(self):
+        """The library's own encoder; most workers never need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or any(a in text for a in self.added) or self.blanks.search(text):
             return self.full.encode(text, add_special_tokens=False).ids
