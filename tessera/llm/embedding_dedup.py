@@ -15,6 +15,8 @@ from tessera.llm.shared import bounded_batches, components, spanning, stored, wi
 
 #: Vectors of a shard at most, bytes of its vectors at most, vectors of a block of queries, and blocks that one task asks.
 SHARD, SHARD_BYTES, BLOCK, SLICE = 16_000, 64 << 20, 1_000, 200
+#: Most tasks that shards are dealt to.
+PARTITIONS = 20_000
 #: First beam; queries of each block and shard that an audit compares with all vectors of the shard at a time, links that
 #: audits of a shard must have seen; the share of them that must be found, else the beam doubles (a beam as wide as the
 #: shard compares everything).
@@ -64,15 +66,15 @@ def near_dups(
     )
     classes = stored(same.select("h1", "h2", "c", "times", F.col("r.row").alias("key"), "r.label", "r.v", F.size("r.v").alias("width")))
 
-    # a group for each shard and slice of blocks: a small row
+    # a group for each shard and slice of blocks, numbered from the first one of its label and width
     kinds = classes.groupBy("label", "width").agg(F.count(F.lit(1)).alias("n"))
     most = F.greatest(F.lit(1), F.least(F.lit(SHARD), F.floor(F.lit(SHARD_BYTES) / (F.col("width") * 8))))
     kinds = kinds.select("label", "width", F.ceil(F.col("n") / most).alias("shards"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    kinds = stored(kinds.withColumn("slices", F.ceil(F.col("blocks") / SLICE)))
-    groups = kinds.select("label", "width", F.posexplode(F.sequence(F.lit(0), F.col("shards") * F.col("slices") - 1)).alias("nth", "_"))
-    groups = stored(groups.withColumn("group", F.row_number().over(W.orderBy("label", "width", "nth")) - 1))
-    firsts = stored(kinds.join(groups.where("nth = 0").select("label", "width", F.col("group").alias("first")), ["label", "width"]))
-    n = max(1, groups.count())
+    kinds = kinds.withColumn("slices", F.ceil(F.col("blocks") / SLICE))
+    before = W.orderBy("label", "width").rowsBetween(W.unboundedPreceding, -1)
+    firsts = stored(kinds.withColumn("first", F.coalesce(F.sum(F.col("shards") * F.col("slices")).over(before), F.lit(0))))
+    n = firsts.agg(F.sum(F.col("shards") * F.col("slices"))).first()[0] or 1
+    parts = int(min(n, PARTITIONS))
 
     met = classes.select("label", "width", "v", "key", "times").join(firsts, ["label", "width"])
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -81,7 +83,7 @@ def near_dups(
     held = held.select(*_place(), F.lit(-1).cast("long").alias("block"), "key", "times", "v")
     asked = met.withColumn("block", block).withColumn("slice", F.pmod("block", "slices")).withColumn("shard", every("shards"))
     asked = asked.select(*_place(), "block", "key", "times", "v")
-    work = held.unionByName(asked).repartitionById(n, F.col("group").cast("int")).sortWithinPartitions("group", "block", "key")
+    work = held.unionByName(asked).repartitionById(parts, F.pmod("group", F.lit(parts)).cast("int")).sortWithinPartitions("group", "block", "key")
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard = None, None
