@@ -534,7 +534,15 @@ def numeric_recall(spark, sf_dir):
     return rounded(M.numeric_recall(_truth(spark, sf_dir), _given(spark, sf_dir)), 4)
 
 
-@query("lenient_exec", "SELECT 1.0::DOUBLE AS same, 0.0::DOUBLE AS other")
+def _cells_sql(t: str) -> str:
+    return f"(SELECT list_sort(list(c)) FROM (SELECT unnest([a::VARCHAR, b::VARCHAR, y::VARCHAR, n::VARCHAR]) AS c FROM ({t})))"
+
+
+_T4 = f"SELECT l_returnflag AS a, l_linestatus AS b, y, n FROM ({_TRUTH})"
+_G4 = f"SELECT f AS a, s AS b, y, n FROM ({_GIVEN})"
+
+
+@query("lenient_exec", f"SELECT ({_cells_sql(_T4)} = {_cells_sql('SELECT b AS a, a AS b, n AS y, y AS n FROM (' + _T4 + ')')})::INT::DOUBLE AS same, ({_cells_sql(_T4)} = {_cells_sql(_G4)})::INT::DOUBLE AS other")
 def lenient_exec(spark, sf_dir):
     t = _truth(spark, sf_dir)
     same = M.lenient_equal(t, t.select("n", "y", "l_linestatus", "l_returnflag")).withColumnRenamed("lenient", "same")
@@ -542,10 +550,12 @@ def lenient_exec(spark, sf_dir):
     return same.withColumn("k", F.lit(1)).join(other.withColumn("k", F.lit(1)), "k").drop("k")
 
 
-@query("strict_exec", "SELECT 1.0::DOUBLE AS strict")
+@query("strict_exec", f"SELECT (NOT EXISTS (({_T4}) EXCEPT ALL ({_T4})))::INT::DOUBLE AS strict, (NOT EXISTS (({_T4}) EXCEPT ALL ({_G4})) AND NOT EXISTS (({_G4}) EXCEPT ALL ({_T4})))::INT::DOUBLE AS other")
 def strict_exec(spark, sf_dir):
     t = _truth(spark, sf_dir)
-    return M.strict_equal(t, t.select("y", "n", "l_linestatus", "l_returnflag"))
+    g = _given(spark, sf_dir).withColumnsRenamed({"s": "l_linestatus", "f": "l_returnflag"})
+    same = M.strict_equal(t, t.select("y", "n", "l_linestatus", "l_returnflag")).withColumn("k", F.lit(1))
+    return same.join(M.strict_equal(t, g).withColumnRenamed("strict", "other").withColumn("k", F.lit(1)), "k").drop("k")
 
 
 _SETS = """WITH a AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS t FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL),
@@ -564,14 +574,16 @@ def set_f1(spark, sf_dir):
 
 @query("selection_f1", """WITH h AS (SELECT r_name AS node, n_name AS child FROM nation JOIN region ON n_regionkey = r_regionkey),
 t AS (SELECT DISTINCT c_custkey AS qid, r_name AS item FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-g AS (SELECT DISTINCT c_custkey AS qid, n_name AS item FROM customer JOIN nation ON c_nationkey = n_nationkey),
-ti AS (SELECT DISTINCT qid, coalesce(child, item) AS item FROM t LEFT JOIN h ON item = node)
-SELECT qid, round(2.0 * count(g.item) / (count(*) + 1), 4) AS f1, 0 AS extra, count(*) - count(g.item) AS missing FROM ti LEFT JOIN g USING (qid, item) GROUP BY qid""")
+g AS (SELECT c_custkey AS qid, n_name AS item FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_custkey, 'FRANCE' FROM customer WHERE c_custkey % 3 = 0),
+ti AS (SELECT DISTINCT qid, coalesce(child, item) AS item FROM t LEFT JOIN h ON item = node),
+j AS (SELECT coalesce(ti.qid, g.qid) AS qid, ti.item AS a, g.item AS b FROM ti FULL JOIN g ON ti.qid = g.qid AND ti.item = g.item)
+SELECT qid, round(2.0 * count(a) FILTER (b IS NOT NULL) / (count(a) + count(b)), 4) AS f1, count(b) FILTER (a IS NULL) AS extra, count(a) FILTER (b IS NULL) AS missing FROM j GROUP BY qid""")
 def selection_f1(spark, sf_dir):
     nation = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     own = _table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     truth = own.select(F.col("c_custkey").alias("qid"), F.col("r_name").alias("item"))
     given = own.select(F.col("c_custkey").alias("qid"), F.col("n_name").alias("item"))
+    given = given.unionByName(own.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("qid"), F.lit("FRANCE").alias("item")))
     return rounded(M.selection_f1(truth, given, nation.select(F.col("r_name").alias("node"), F.col("n_name").alias("child"))), 4)
 
 
