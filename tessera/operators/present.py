@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.units import Unit
@@ -48,10 +48,17 @@ def with_units(df: DataFrame, units: dict[str, Unit], measure: str = "Measure")
     texts = {m: u.text for m, u in units.items()}
     if not texts:
         return df.withColumn("Unit", F.lit(""))
-    known = F.create_map(*(F.lit(x) for pair in texts.items() for x in pair))
+    df, known = _with_map(df, texts)
     single = F.element_at(known, col(measure))
     parts = F.array_distinct(F.filter(F.transform(F.split(measure, ", |;|\n"), lambda m: F.element_at(known, m)), lambda u: u.isNotNull()))
-    return df.withColumn("Unit", F.coalesce(single, F.array_join(parts, ", "), F.lit("")))
+    return df.withColumn("Unit", F.coalesce(single, F.array_join(parts, ", "), F.lit(""))).drop(known)
+
+
+def _with_map(df: DataFrame, told: dict[str, str]) -> tuple[DataFrame, Column]:
+    """df with a column that holds a map, from a table of one row: so the plan doesn't grow with the map."""
+    name = "\1map"
+    one = df.sparkSession.createDataFrame([(told,)], f"`{name}` map<string,string>")
+    return df.crossJoin(F.broadcast(one)), F.col(f"`{name}`")
 
 
 def split_name(name: str) -> tuple[str, ...]:
@@ -72,15 +79,11 @@ def column_names(names: Sequence[str], codes: dict[str, Sequence[str]]) -> list[
     return [ColumnName(n, parts := split_name(n), tuple(owner.get(p) for p in parts)) for n in names]
 
 
-def labels_table(spark: SparkSession, labels: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(labels.items()), "code string, label string")
-
-
 def label_cells(df: DataFrame, columns: Sequence[str], labels: dict[str, str]) -> DataFrame:
     """Codes in cells become labels; parts of composites (joined by ";", ", " or a line's end) each on their own."""
     if not labels:
         return df
-    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    df, known = _with_map(df, labels)
     out = {}
     for c in columns:
         one = F.element_at(known, col(c))
@@ -88,7 +91,7 @@ def label_cells(df: DataFrame, columns: Sequence[str], labels: dict[str, str]) -
             many = F.array_join(F.transform(F.split(c, sep), lambda p: F.coalesce(F.element_at(known, p), p)), sep)
             one = F.coalesce(one, F.when(F.instr(col(c), sep) > 0, many))
         out[c] = F.coalesce(one, col(c))
-    return df.withColumns(out)
+    return df.withColumns(out).drop(known)
 
 
 def label_columns(df: DataFrame, labels: dict[str, str], sep: str = " | ") -> DataFrame:
