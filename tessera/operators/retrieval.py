@@ -7,9 +7,13 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.stemmer import english
 
 #: Most bytes of a block of queries that is broadcast.
 BLOCK_BYTES = 32 << 20
@@ -38,8 +42,18 @@ def stem(token: Column, language: str = "en") -> Column:
     return out.otherwise(token)
 
 
-def query_tokens(text: Column, language: str = "en", stemmed: bool = False) -> Column:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def snowball(words: pd.Series) -> pd.Series:
+    """Each array of words as Snowball's English stems; questions are few, so Python does for them."""
+    return words.map(lambda each: None if each is None else [english(w) for w in each])
+
+
+def query_tokens(text: Column, language: str = "en", stemmed: bool | str = False) -> Column:
+    """Tokens without function words; stemmed: True takes endings off (see stem()), "snowball" stems English by the
+    published algorithm."""
     kept = F.filter(tokens(text), lambda t: ~t.isin(STOPWORDS[language]))
+    if stemmed == "snowball":
+        return snowball(kept) if language == "en" else F.transform(kept, lambda t: stem(t, language))
     return F.transform(kept, lambda t: stem(t, language)) if stemmed else kept
 
 
@@ -55,7 +69,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bm25(
-    docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", query_id: str = "qid", query_text: str = "query", stemmed: bool = False
+    docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", query_id: str = "qid", query_text: str = "query", stemmed: bool | str = False
 ) -> DataFrame:
     """(qid, id, score) of documents that share a term with the query. BM25+: each query term of the corpus adds
     idf * (DELTA + tf (K1 + 1) / (K1 (1 - B + B dl / avgdl) + tf)), idf = ln((N + 1) / df), so also DELTA * idf to

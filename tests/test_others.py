@@ -94,6 +94,21 @@ def test_retrieval(spark):
     assert [r.node for r in R.prompt_order(nodes).orderBy("place").collect()] == ["m", "g", "c"]
 
 
+def test_english_stems(spark):
+    from tessera.functions.stemmer import english
+
+    pairs = {
+        "consigned": "consign", "consignment": "consign", "consistency": "consist", "consolation": "consol", "consolidating": "consolid", "knackeries": "knackeri", "knaves": "knave", "kneaded": "knead",
+        "kneeling": "kneel", "generally": "general", "generate": "generat", "communication": "communic", "happily": "happili", "happy": "happi", "say": "say", "cries": "cri", "ties": "tie", "caresses": "caress",
+        "gas": "gas", "gaps": "gap", "kiwis": "kiwi", "hopping": "hop", "hoping": "hope", "luxuriating": "luxuri", "agreed": "agre", "feed": "feed", "relational": "relat", "conditional": "condit",
+        "skies": "sky", "dying": "die", "proceed": "proceed", "succeeds": "succeed", "adoption": "adopt", "controll": "control", "rate": "rate", "by": "by", "news": "news", "yes": "yes", "sized": "size",
+        "national": "nation", "statistics": "statist", "enterprises": "enterpris", "employees": "employe", "households": "household", "vacations": "vacat", "effective": "effect", "useful": "use",
+    }
+    assert {w: english(w) for w in pairs} == pairs
+    got = spark.createDataFrame([("The Employees of national households",), (None,)], "q string").select(R.query_tokens(F.col("q"), stemmed="snowball")).collect()
+    assert [r[0] for r in got] == [["employe", "nation", "household"], []]
+
+
 def test_negatives(spark):
     golden = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "qid long, id long")
     have = spark.createDataFrame([(1, 12, 1), (1, 13, 2), (1, 14, 3), (2, 21, 1)], "qid long, id long, nth long")
