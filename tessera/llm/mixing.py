@@ -15,6 +15,8 @@ FLAT = ((0.0, 1.0), (1.0, 1.0))
 CURVES = (((0.0, 0.5), (1.0, 1.5)), FLAT, ((0.0, 1.5), (1.0, 0.5)))
 #: Rows that one part of a source's order holds on average.
 PART_ROWS = 20_000
+#: Bytes of text that a range of the mixed documents holds, about.
+PART_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -215,5 +217,7 @@ def mixed(docs: DataFrame, partitions: int | None = None, **given) -> DataFrame:
         some = some.withColumn("nth", nth(key, "hash"))
         on = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in [*key, "nth"]]
         met = met.unionByName(some.join(many, on).select("row", at, "id"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartitionByRange(n, "at", "id").sortWithinPartitions("at", "id").select("row.*")
+    if partitions is None:  # ranges of about PART_BYTES, at 8 bytes a word
+        read = plan.agg(F.sum(F.col("p_size") * F.size("ats"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read * 8 // PART_BYTES))
+    return met.repartitionByRange(partitions, "at", "id").sortWithinPartitions("at", "id").select("row.*")

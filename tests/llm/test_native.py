@@ -212,5 +212,5 @@ def test_many_matches_in_one_text(spark):
     pii.find_pii(docs).collect()
     start = time.time()
     got = {r["doc_id"]: r["email"] for r in rows_of(pii.find_pii(docs))}
-    assert time.time() - start < 20
+    assert time.time() - start < 120  # minutes, if an array were copied for each match
     assert [(s["start"], s["end"]) for s in got[1]] == [(7 * k, 7 * k + 6) for k in range(20_000)] and got[2][0]["start"] == 14
