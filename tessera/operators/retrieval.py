@@ -187,10 +187,12 @@ def hard_negatives(ranked: DataFrame, golden: DataFrame, k: int) -> DataFrame:
 def alternating(scores: DataFrame, k: int, same: float = 0.95) -> DataFrame:
     """k negatives of each query by turns from the most and the least similar, without near duplicates (score >= same):
     qid, id, nth."""
-    left = scores.where(F.col("score") < same)
-    w = W.partitionBy("qid")
-    left = left.withColumn("hi", F.row_number().over(w.orderBy(F.col("score").desc(), "id"))).withColumn("lo", F.row_number().over(w.orderBy("score", "id")))
-    turn = F.when(F.col("hi") <= F.col("lo"), 2 * F.col("hi") - 1).otherwise(2 * F.col("lo"))
+    left, w = scores.where(F.col("score") < same), W.partitionBy("qid")
+    # the k first from either end are enough; so stated, each task keeps k before the shuffle
+    hi = left.withColumn("hi", F.row_number().over(w.orderBy(F.col("score").desc(), "id"))).where(F.col("hi") <= k).select("qid", "id", "hi")
+    lo = left.withColumn("lo", F.row_number().over(w.orderBy("score", "id"))).where(F.col("lo") <= k).select("qid", "id", "lo")
+    left = hi.join(lo, ["qid", "id"], "full")
+    turn = F.when(F.col("lo").isNull() | (F.col("hi") <= F.col("lo")), 2 * F.col("hi") - 1).otherwise(2 * F.col("lo"))
     nth = F.row_number().over(w.orderBy(turn, "id"))
     return left.withColumn("nth", nth.cast("long")).where(F.col("nth") <= k).select("qid", "id", "nth")
 
