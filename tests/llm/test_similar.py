@@ -214,6 +214,20 @@ def test_passage_among_holders_of_its_parts(spark):
     assert [(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end, r.matched) for r in got] == [(24, 40, 100, 23, 40, 100, 60)]
 
 
+def test_rows_follow_the_words_that_repeat(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    whole = fresh(300)
+    texts = [fresh(5) + whole + fresh(5)]
+    for _ in range(40):
+        at = rng.randrange(220)
+        texts.append(fresh(30) + whole[at : at + rng.randrange(60, 80)] + fresh(30))
+    texts.append(fresh(9) + whole + fresh(9))
+    got = substring_dedup.substring_dups(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {x for r in got for x in (r.doc_id, r.other_id)} == set(range(42)) and {r.component_id for r in got} == {0}
+    assert len(got) <= 42
+
+
 def test_substrings_match_brute_force(spark):
     rng = random.Random(18)
     fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
